@@ -5,20 +5,86 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semrank.llm import minhash
+from semrank.llm import decontamination, langid, line_dedup, minhash, packing, substring_dedup, token_count, toxicity, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def _fold(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_fold(3) != 1))
+    return langid.predict(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_count.token_counts(_table(spark, sf_dir, "documents"), token_count.Counting(tokenizer("byte_bpe_50k.json")))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.greatest(F.col("toxic") == 1, F.col("quality") == 0)
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes, url_reputation.Reputation(rules=RULES))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hit_words")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {
+        "op2_toxicity": op2_toxicity,
+        "op3_language_id": op3_language_id,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_token_counts": op5_token_counts,
+        "op6_packing": op6_packing,
+        "op7_url_reputation": op7_url_reputation,
+        "op8_decontamination": op8_decontamination,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
