@@ -6,14 +6,15 @@ window repeats if its word sequence also starts in a document with a smaller doc
 1. Texts whose whole word sequence an earlier document has are found by fingerprint and take no part below.
 2. Anchors: of the 5-word grams of a window, the one with the least hash. Equal windows have equal anchors, and about one
    gram in five is one, so grouping the anchors is a cheap and exact way to leave out nearly all windows that don't repeat.
-3. Edges: windows whose anchor occurs in two documents, as 96-bit hashes with their coordinates (doc_id, position). The
-   smallest coordinate of an edge is its source; a join gives it to all other occurrences.
+3. Edges: windows whose anchor occurs in two documents, as 96-bit hashes with their coordinates (doc_id, position). Windows
+   in a row that share an anchor travel as one row, dealt out by anchor. The smallest coordinate of an edge is its source.
 4. Compaction: consecutive positions of a document whose sources are consecutive too form a nonbranching path, kept as one
    span (doc_id, start, length, source_doc, source_start).
 
-Skew: anchors and edges are aggregated with map-side combine before the shuffle, and a join gives each occurrence one row,
-so a passage in a third of all documents costs rows in proportion to its occurrences. Spans are gathered per document, never
-per passage. The shuffle of texts by doc_id is one exchange that the three joins on it reuse.
+Skew: anchors are aggregated with map-side combine before the shuffle, and a join gives each occurrence one row. Anchors of
+at most `hot` documents meet in one task, so what is held at once is bounded; the edges of the others are aggregated to their
+sources with map-side combine and joined back, one by one. Spans are gathered per document, never per passage. The joins on
+the texts reuse one shuffle by doc_id.
 
 Defined results: null and empty texts have no words. Texts of fewer than `window` words keep all. Rows that repeat a doc_id
 (they must repeat its text) don't make each other's words repeated; rows with a null doc_id keep all words.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, map_arrow
+from semrank.llm.common import batch, map_arrow, stored
 from semrank.llm.hashing import SPACED, fingerprints, inside, ngrams, word_slices
 
 
@@ -37,6 +38,8 @@ from semrank.llm.hashing import SPACED, fingerprints, inside, ngrams, word_slice
 class Repeats:
     window: int = 13
     anchor: int = 5
+    #: Documents of an anchor that may meet in one task.
+    hot: int = 20_000
 
 
 def _window_anchors(words: np.ndarray, p: Repeats) -> np.ndarray:
@@ -59,7 +62,7 @@ def _copies(docs: DataFrame, p: Repeats) -> DataFrame:
             ids = b.column("doc_id").slice(lo, hi - lo).take(pa.array(full))
             yield batch(doc_id=ids, f1=fingerprints(words, offs, 5)[full].astype(np.int64), f2=fingerprints(words, offs, 6)[full].astype(np.int64))
 
-    signed = map_arrow(docs, sign, "doc_id long, f1 long, f2 long").where("doc_id is not null")
+    signed = stored(map_arrow(docs, sign, "doc_id long, f1 long, f2 long").where("doc_id is not null"), "fingerprints")
     first = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     return signed.join(first, ["f1", "f2"]).where("doc_id > first").select("doc_id").distinct()
 
@@ -85,7 +88,9 @@ def _anchors(docs: DataFrame, p: Repeats) -> DataFrame:
 
 
 def _edges(texts: DataFrame, p: Repeats) -> DataFrame:
-    """(h, g, doc_id, pos) of the windows of texts (doc_id, text, anchors) whose anchor is one of the row's."""
+    """Windows of texts (doc_id, text, anchors) whose anchor is one of the row's: (anchor, doc_id, pos, hs, gs), the hashes
+    of windows in a row with one anchor.
+    """
 
     def run(b):
         lists = b.column("anchors")
@@ -96,47 +101,114 @@ def _edges(texts: DataFrame, p: Repeats) -> DataFrame:
             wanted = np.unique(np.array(lists.slice(lo, hi - lo).flatten()).astype(np.uint64))
             value = _window_anchors(words, p)[at]
             good = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value
-            at, row = at[good], row[good]
-            ids = b.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
+            at, row, value = at[good], row[good], value[good]
+            if not len(at):
+                continue
+            new = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]))))
             h, g = ngrams(words, p.window, seed=3)[at], ngrams(words, p.window, seed=4)[at]
-            yield batch(h=h.astype(np.int64), g=(g >> np.uint64(32)).astype(np.uint32).view(np.int32), doc_id=ids, pos=(at - offs[:-1][row]).astype(np.int32))
-
-    return map_arrow(texts, run, "h long, g int, doc_id long, pos int")
+            cuts = pa.array(np.append(new, len(at)).astype(np.int32))
+            hs = pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64)))
+            gs = pa.ListArray.from_arrays(cuts, pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            ids = b.column("doc_id").slice(lo, hi - lo).take(pa.array(row[new]))
+            yield batch(anchor=value[new].view(np.int64), doc_id=ids, pos=(at - offs[:-1][row])[new].astype(np.int32), hs=hs, gs=gs)
+
+    return map_arrow(texts, run, "anchor long, doc_id long, pos int, hs array<long>, gs array<int>")
+
+
+def _paths(doc, pos, source_doc, source_pos) -> pa.RecordBatch:
+    """Covered windows as runs with consecutive sources."""
+    order = np.lexsort((pos, doc))
+    doc, pos, source_doc, source_pos = doc[order], pos[order], source_doc[order], source_pos[order]
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (source_doc[1:] != source_doc[:-1]) | (source_pos[1:] != source_pos[:-1] + 1))))
+    n = np.diff(np.append(new, len(doc))).astype(np.int32)
+    return batch(doc_id=doc[new], pos=pos[new].astype(np.int32), n=n, source_doc=source_doc[new], source_pos=source_pos[new].astype(np.int32))
+
+
+def _meet(edges: DataFrame) -> DataFrame:
+    """Runs of repeated windows (doc_id, pos, n, source_doc, source_pos) of edges whose equal windows fit in one task."""
+
+    def solve(t: pa.Table):
+        hs, gs = t.column("hs").combine_chunks(), t.column("gs").combine_chunks()
+        sizes = np.diff(np.array(hs.offsets))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        step = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        doc, pos = np.array(t.column("doc_id"))[row], np.array(t.column("pos"))[row] + step
+        h, g = np.array(hs.flatten()), np.array(gs.flatten())
+        order = np.lexsort((pos, doc, g, h))
+        h, g, doc, pos = h[order], g[order], doc[order], pos[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        later = np.flatnonzero(doc > doc[first])
+        if len(later):
+            yield _paths(doc[later], pos[later], doc[first[later]], pos[first[later]])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            anchors = np.array(b.column("anchor"))
+            change = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+            if held and anchors[0] != held[-1].column("anchor")[-1].as_py():
+                change = np.append(0, change)
+            if len(change):
+                cut = int(change[-1])
+                done = [*held, b.slice(0, cut)]
+                yield from solve(pa.Table.from_batches(done).combine_chunks())
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield from solve(pa.Table.from_batches(held).combine_chunks())
+
+    return edges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, pos int, n int, source_doc long, source_pos int")
+
+
+def _join(edges: DataFrame) -> DataFrame:
+    """The same for edges with any number of equal windows."""
+    each = edges.select("doc_id", "pos", F.posexplode(F.arrays_zip("hs", "gs")).alias("i", "x")).select("doc_id", (F.col("pos") + F.col("i")).alias("pos"), "x.hs", "x.gs")
+    source = each.groupBy("hs", "gs").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last")
+    found = each.join(source.select("hs", "gs", "source"), ["hs", "gs"]).where("doc_id > source.doc_id")
+    return found.select("doc_id", "pos", F.lit(1).alias("n"), F.col("source.doc_id").alias("source_doc"), F.col("source.pos").alias("source_pos"))
 
 
 def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
-    """(doc_id, pos, source_doc, source_pos): windows that a smaller doc_id has too, whole-text copies left out."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, pos, n, source_doc, source_pos): n windows from pos on that a smaller doc_id has too; whole-text copies of an
+    earlier document are left out.
+    """
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
     return _repeats(docs, _copies(docs, p), p)
 
 
 def _repeats(docs: DataFrame, copies: DataFrame, p: Repeats) -> DataFrame:
-    originals = docs.where("doc_id is not null").join(copies.hint("shuffle_hash"), "doc_id", "left_anti")
-    anchors = _anchors(originals, p)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
-    wanted = anchors.join(shared.hint("shuffle_hash"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    edges = _edges(docs.join(wanted.hint("shuffle_hash"), "doc_id"), p)
-    source = edges.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last")
-    found = edges.join(source.select("h", "g", "source").hint("shuffle_hash"), ["h", "g"]).where("doc_id > source.doc_id")
-    return found.select("doc_id", "pos", F.col("source.doc_id").alias("source_doc"), F.col("source.pos").alias("source_pos"))
+    anchors = _anchors(docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti"), p)
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    marked = anchors.join(shared.select("anchor", (F.col("n") > p.hot).alias("hot")).hint("shuffle_hash"), "anchor")
+    wanted = marked.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+
+    def texts(name):
+        return docs.join(wanted.where(F.size(name) > 0).select("doc_id", F.col(name).alias("anchors")).hint("shuffle_hash"), "doc_id")
+
+    return _meet(_edges(texts("anchors"), p)).unionByName(_join(_edges(texts("hot"), p)))
 
 
 def spans(found: DataFrame, p: Repeats = Repeats()) -> DataFrame:
-    """Rows of repeats() compacted: (doc_id, start, length in words, source_doc, source_start)."""
+    """Rows of repeats() compacted to whole paths: (doc_id, start, length in words, source_doc, source_start)."""
     by = Window.partitionBy("doc_id").orderBy("pos")
-    fresh = (F.col("pos") == F.lag("pos").over(by) + 1) & (F.col("source_doc") == F.lag("source_doc").over(by)) & (F.col("source_pos") == F.lag("source_pos").over(by) + 1)
-    path = F.sum(F.when(fresh, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    last = lambda c: F.lag(c).over(by)
+    more = (F.col("pos") == last("pos") + last("n")) & (F.col("source_doc") == last("source_doc")) & (F.col("source_pos") == last("source_pos") + last("n"))
+    path = F.sum(F.when(more, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
     rows = found.withColumn("path", path).groupBy("doc_id", "path")
-    return rows.agg(F.min("pos").alias("start"), (F.count("*") + p.window - 1).cast("int").alias("length"), F.first("source_doc").alias("source_doc"), F.min("source_pos").alias("source_start")).drop("path")
+    return rows.agg(F.min("pos").alias("start"), (F.sum("n") + p.window - 1).cast("int").alias("length"), F.first("source_doc").alias("source_doc"), F.min("source_pos").alias("source_start")).drop("path")
 
 
 def deduplicate(docs: DataFrame, p: Repeats = Repeats(), texts: bool = True) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space; null unless texts)."""
-    docs = docs.select("doc_id", "text")
-    copies = _copies(docs, p)
+    every = docs.select("doc_id", "text")
+    docs = every.where("doc_id is not null")
+    copies = stored(_copies(docs, p), "copies")
     cuts = spans(_repeats(docs, copies, p), p).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
     marks = cuts.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("starts", F.array().cast("array<int>")).withColumn("lengths", F.array().cast("array<int>")).withColumn("copy", F.lit(True)))
-    rows = docs.join(marks.hint("shuffle_hash"), "doc_id", "left")
+    none = every.where("doc_id is null").withColumns({c: F.lit(None).cast(t) for c, t in marks.dtypes if c != "doc_id"})
+    rows = docs.join(marks.hint("shuffle_hash"), "doc_id", "left").unionByName(none)
 
     def cut(b):
         out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}

@@ -39,7 +39,7 @@ def fixture():
 def test_equals_brute_force(spark):
     rows = fixture()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for p in (Repeats(), Repeats(window=7, anchor=3)):
+    for p in (Repeats(), Repeats(window=7, anchor=3), Repeats(hot=3)):
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in deduplicate(docs, p).collect()}
         assert got == brute(rows, p.window)
 
