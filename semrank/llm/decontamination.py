@@ -118,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, p: Decontamination = Decont
 def remove_documents(docs: DataFrame, items: DataFrame, most_share: float = 0.0, p: Decontamination = Decontamination()) -> DataFrame:
     """docs without those of whose words more than the share most_share are hit."""
     bad = contamination(docs, items, p).where((F.col("n_hit") > 0) & (F.col("n_hit") > most_share * F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), "doc_id", "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 WINDOW = 3
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text, lines, full: the indexes of the lines that aren't blank."""
-    lines = docs.select("doc_id", "text", F.split("text", "\n").alias("lines"))
+def _lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lines, full: the indexes of the lines that aren't blank; and the columns keep."""
+    lines = docs.select("doc_id", *[F.col(c).alias(f"keep_{c}") for c in keep], F.split("text", "\n").alias("lines"))
     return lines.withColumn("full", F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(r"[^\x09-\x0D\x20]"), i))))
 
 
@@ -35,15 +35,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return rows.join(first.select("k1", "k2", "first"), ["k1", "k2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
 
 
-def deduplicate_lines(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_lines, n_removed, text (what is left)."""
+def deduplicate_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, n_lines, n_removed, n_left (lines that aren't blank), text (what is left), and the columns
+    keep of docs.
+    """
     covered = repeated_windows(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (WINDOW - 1)))))
-    rows = _lines(docs).join(covered, "doc_id", "left")
+    # The hint keeps one plan at every size: texts are shuffled, never sorted.
+    rows = _lines(docs, keep).join(covered.hint("shuffle_hash"), "doc_id", "left")
     lost = F.coalesce(F.transform(gone, lambda i: F.get("full", i)), F.array().cast("array<int>"))
     rows = rows.withColumn("lost", lost)
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
     return rows.select(
         "doc_id", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_removed"),
+        F.coalesce(F.size("full") - F.size("lost"), F.lit(0)).cast("long").alias("n_left"),
         F.when(F.col("lines").isNotNull(), F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")).alias("text"),
+        *[F.col(f"keep_{c}").alias(c) for c in keep],
     )

@@ -95,9 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
         df, n = np.zeros((2, p.buckets), dtype=np.int64), np.zeros(2, dtype=np.int64)
         for b in batches:
             for text, label in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
-                df[label] += np.bincount(np.unique(_features(text.as_py(), p)), minlength=p.buckets) if p.buckets <= 4096 else 0
-                if p.buckets > 4096:
-                    df[label, np.unique(_features(text.as_py(), p))] += 1
+                df[label, np.unique(_features(text.as_py(), p))] += 1
                 n[label] += 1
         some = np.flatnonzero(df.sum(axis=0))
         yield batch(bucket=np.append(some, -1), n0=np.append(df[0, some], n[0]), n1=np.append(df[1, some], n[1]))
@@ -153,30 +151,46 @@ def _logistic(y, row, col, ratio, p: Toxicity) -> tuple[np.ndarray, float]:
     return v, bias
 
 
+def _scores(batches, m: Model, p: Toxicity):
+    """(batch, scores of its texts) for each batch."""
+    cache: dict[str, float] = {}
+    for b in batches:
+        texts, out, at = b.column("text"), [], 0
+        while at < len(texts):
+            lists, size = [], 0
+            while at < len(texts) and (size < 1 << 20 or not lists) and len(lists) < 4096:
+                t = texts[at].as_py() or ""
+                lists.append(set(t.lower().replace("\x02", " ").replace("\x03", " ").split()))
+                size += len(t)
+                at += 1
+            if len(cache) > p.max_cached:
+                cache.clear()
+            new = list(set().union(*lists) - cache.keys())
+            for lo in range(0, len(new), 50_000):
+                part = new[lo : lo + 50_000]
+                cache.update(zip(part, m.word_scores(part, p).tolist(), strict=True))
+            # Sorted, so that a score doesn't depend on the order of a set.
+            out += [sum(sorted(filter(None, map(cache.__getitem__, words)))) + m.bias for words in lists]
+        yield b, 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -40, 40)))
+
+
 def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:
     """Per row of docs: doc_id, score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        cache: dict[str, float] = {}
-        m = shared.value
-        for b in batches:
-            texts, out, at = b.column("text"), [], 0
-            while at < len(texts):
-                lists, size = [], 0
-                while at < len(texts) and (size < 1 << 20 or not lists) and len(lists) < 4096:
-                    t = texts[at].as_py() or ""
-                    lists.append(set(t.lower().replace("\x02", " ").replace("\x03", " ").split()))
-                    size += len(t)
-                    at += 1
-                if len(cache) > p.max_cached:
-                    cache.clear()
-                new = list(set().union(*lists) - cache.keys())
-                for lo in range(0, len(new), 50_000):
-                    part = new[lo : lo + 50_000]
-                    cache.update(zip(part, m.word_scores(part, p).tolist(), strict=True))
-                out += [sum(sorted(filter(None, map(cache.__getitem__, words)))) + m.bias for words in lists]
-            z = np.clip(np.array(out, dtype=np.float64), -40, 40)
-            yield batch(doc_id=b.column("doc_id"), score=1 / (1 + np.exp(-z)))
+        for b, scores in _scores(batches, shared.value, p):
+            yield batch(doc_id=b.column("doc_id"), score=scores)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model, p: Toxicity = Toxicity(), under: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores under `under`, with all their columns and without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b, scores in _scores(batches, shared.value, p):
+            yield b.filter(pa.array(scores < under))
+
+    return docs.mapInArrow(run, docs.schema)
