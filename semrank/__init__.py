@@ -1,0 +1 @@
+"""semrank: ranking text by meaning, as Spark DataFrames."""

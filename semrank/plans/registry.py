@@ -1,11 +1,13 @@
-"""Registered queries of the engine."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
+from semrank.plans import base, items, store  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.ORACLES)
