@@ -15,8 +15,9 @@ counts these.
 Skew: texts with equal word sequences are one node of the search, whatever their number. A bucket of a band compares its
 members with one leader, not with each other; only members that are not in the leader's class afterwards are compared
 further. For these, `check_samples` one-byte samples estimate the similarity, and a pair is verified unless the estimate is
-`check_sigmas` standard errors below the threshold (a chance of about one in a million for a true link). No bucket is cut: a
-large one is dealt out in pairs of segments.
+`check_sigmas` standard errors below the threshold (a chance of about one in a million for a true link). Only documents with
+such a partner get their bags joined, and pairs whose components have been linked meanwhile are passed over. No bucket is
+cut: a large one is dealt out in pairs of segments.
 
 Defined results: null, empty and wordless texts have no shingle, link with nothing and are kept. Rows that repeat a doc_id
 count as one document with the smallest of their fingerprints. Other columns are ignored.
@@ -213,21 +214,23 @@ def _signatures(docs: DataFrame, common, p: NearDup) -> DataFrame:
 
 
 def _bags(docs: DataFrame, common, p: NearDup) -> DataFrame:
-    """(doc_id, bag, sig): the whole weighted bag as sorted 8-byte shingles and 4-byte weights, and the check samples."""
+    """(doc_id, bag, sig, keys): the whole weighted bag as sorted shingles (8 bytes each) and weights (4), the check samples
+    (a byte each) and the band keys (8).
+    """
 
     def pack(b):
         for lo, hi, words, offs, row, grams, weight in _weights(b, common, p):
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            weight = weight.astype(np.float32)
-            bags = [grams[x:y].tobytes() + weight[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            bags = [grams[x:y].tobytes() + weight[x:y].astype(np.float32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
             sigs = []
             for at in range(0, hi - lo, 1024):  # bounds the table of samples
                 x, y = cut[at], cut[min(hi - lo, at + 1024)]
-                ids = samples(row[x:y] - at, grams[x:y], weight[x:y].astype(np.float64), min(1024, hi - lo - at), p.check_samples, p.seed + 99)
+                ids = samples(row[x:y] - at, grams[x:y], weight[x:y], min(1024, hi - lo - at), p.check_samples, p.seed + 99)
                 sigs += [s.tobytes() for s in ids.astype(np.uint8)]
-            yield batch(doc_id=b.column("doc_id").slice(lo, hi - lo), bag=pa.array(bags, pa.binary()), sig=pa.array(sigs, pa.binary()))
+            bands = [x.tobytes() for x in band_keys(samples(row, grams, weight, hi - lo, p.bins, p.seed), p)]
+            yield batch(doc_id=b.column("doc_id").slice(lo, hi - lo), bag=pa.array(bags, pa.binary()), sig=pa.array(sigs, pa.binary()), keys=pa.array(bands, pa.binary()))
 
-    return map_arrow(docs.select("doc_id", "text"), pack, "doc_id long, bag binary, sig binary")
+    return map_arrow(docs.select("doc_id", "text"), pack, "doc_id long, bag binary, sig binary, keys binary")
 
 
 def weighted_jaccard(one: bytes, two: bytes) -> float:
@@ -254,48 +257,80 @@ def _verify(pairs: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
     return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b"), check, "a long, b long, similarity double")
 
 
-def _cross_pairs(members: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
-    """Distinct pairs of members (band, key, doc_id, component) of a bucket that are in different components and may be similar."""
+def _cells(members: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
+    """Members (band, key, doc_id, component) of the buckets that hold several components, with columns of bags, dealt out
+    in cells: segment s of a bucket meets each segment t in cell (s, t), s <= t.
+    """
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    parts = F.expr(f"int(ceil(n / {p.segment}))")
-    rows = members.join(sizes.select("band", "key", parts.alias("parts")), ["band", "key"])
-    # Segment s of a bucket meets each segment t: task (s, t) with s <= t holds both.
+    rows = members.join(sizes.select("band", "key", F.expr(f"int(ceil(n / {p.segment}))").alias("parts")), ["band", "key"])
     rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("t", F.explode(F.expr("sequence(0, parts - 1)")))
     rows = rows.select("band", "key", "doc_id", "component", "s", F.least("s", "t").alias("s0"), F.greatest("s", "t").alias("t0"))
-    rows = rows.join(bags.select("doc_id", "sig"), "doc_id")
+    cell = ("band", "key", "s0", "t0")
+    rows = rows.join(bags, "doc_id").repartition(*cell).sortWithinPartitions(*cell, "doc_id")
+    return rows.select(*cell, "doc_id", "component", "s", *[c for c in bags.columns if c != "doc_id"])
+
+
+def _each_cell(batches, f):
+    """f of the rows of each cell, as lists by column, in one pass over sorted batches."""
+    cell, held = None, []
+    for x in batches:
+        for row in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            if row[:4] != cell:
+                if len(held) > 1:
+                    yield from f(*cell, *zip(*held, strict=True))
+                cell, held = row[:4], []
+            held.append(row[4:])
+    if len(held) > 1:
+        yield from f(*cell, *zip(*held, strict=True))
+
+
+def _open_pairs(band, s0, t0, comp, seg, sig, keys_, p: NearDup) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later j) of a cell that are in different components, may be similar and share no earlier band."""
+    comp, seg = np.array(comp), np.array(seg)
+    sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(comp), -1)
+    shared = np.frombuffer(b"".join(keys_), np.uint64).reshape(len(comp), -1)[:, : band + 1]
     least = p.threshold - p.check_sigmas * (p.threshold * (1 - p.threshold) / p.check_samples) ** 0.5
-
-    def pairs(ids, comp, seg, sig, s0, t0):
-        for i in range(len(ids) - 1):
-            able = comp[i + 1 :] != comp[i]
-            if s0 != t0:
-                able &= seg[i + 1 :] != seg[i]
-            j = np.flatnonzero(able) + i + 1
-            if len(j):
-                j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
-                for other in ids[j]:
-                    yield min(ids[i], other), max(ids[i], other)
-
-    def run(batches):
-        group, held = None, []
-
-        def flush():
-            if len(held) < 2:
-                return
-            out = list(pairs(np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([r[2] for r in held]), np.array([np.frombuffer(r[3], np.uint8) for r in held]), group[2], group[3]))
-            if out:
-                yield batch(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
-
-        for x in batches:
-            for band, key, s0, t0, doc, comp, seg, sig in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if (band, key, s0, t0) != group:
-                    yield from flush()
-                    group, held = (band, key, s0, t0), []
-                held.append((doc, comp, seg, sig))
-        yield from flush()
-
-    cells = rows.repartition("band", "key", "s0", "t0").sortWithinPartitions("band", "key", "s0", "t0", "doc_id")
-    return cells.select("band", "key", "s0", "t0", "doc_id", "component", "s", "sig").mapInArrow(run, "a long, b long").distinct()
+    for i in range(len(comp) - 1):
+        able = comp[i + 1 :] != comp[i]
+        if s0 != t0:
+            able &= seg[i + 1 :] != seg[i]
+        j = np.flatnonzero(able) + i + 1
+        if len(j):
+            j = j[(shared[j] == shared[i]).argmax(axis=1) == band]
+        if len(j):
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
+        if len(j):
+            yield i, j
+
+
+def _missed_links(members: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
+    """(a, b): links between different components of a bucket, enough to join all components that have one."""
+
+    def may(band, key, s0, t0, ids, comp, seg, sig, keys_):
+        found = {ids[k] for i, j in _open_pairs(band, s0, t0, comp, seg, sig, keys_, p) for k in (i, *j)}
+        if found:
+            yield batch(doc_id=pa.array(sorted(found), pa.int64()))
+
+    def verify(band, key, s0, t0, ids, comp, seg, sig, keys_, bag):
+        root, out = {c: c for c in comp}, []
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, js in _open_pairs(band, s0, t0, comp, seg, sig, keys_, p):
+            for j in js:
+                x, y = find(comp[i]), find(comp[j])
+                if x != y and weighted_jaccard(bag[i], bag[j]) >= p.threshold:
+                    root[x] = y
+                    out.append((ids[i], ids[j]))
+        if out:
+            yield batch(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
+
+    light = _cells(members, bags.select("doc_id", "sig", "keys"), p).mapInArrow(lambda x: _each_cell(x, may), "doc_id long").distinct()
+    some = members.join(light, "doc_id", "left_semi")
+    return _cells(some, bags.select("doc_id", "sig", "keys", "bag"), p).mapInArrow(lambda x: _each_cell(x, verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -310,12 +345,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     keys_ = reps.where("doc_id = rep").select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = keys_.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
     buckets = stored(keys_.join(shared.select("band", "key", "leader"), ["band", "key"]), "buckets")
-    bags = stored(_bags(docs.join(buckets.select("doc_id").distinct(), "doc_id"), common, p), "bags")
+    # The hint keeps one plan at every size: texts are shuffled, never sorted, and the ids are the hashed side.
+    bags = stored(_bags(docs.join(buckets.select("doc_id").distinct().hint("shuffle_hash"), "doc_id"), common, p), "bags")
     stars = buckets.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stored(_verify(stars, bags, p).select("a", "b"), "links")
     found = stored(components(links), "classes")
     members = buckets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    more = stored(_verify(_cross_pairs(members, bags, p), bags, p).select("a", "b"), "links")
+    more = stored(_missed_links(members, bags, p), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     of_rep = reps.select("doc_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
