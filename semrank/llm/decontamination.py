@@ -74,6 +74,11 @@ def _windows_at(df: DataFrame, positions: dict[int, Column]) -> DataFrame:
     return df.withColumn("hits", F.concat(*[at(n) for n in positions]))
 
 
+def _positions(n: int, wanted: list[int]) -> Column:
+    """Starts of the windows of n words whose hash is in the set."""
+    return F.array_compact(F.transform(f"h{n}", lambda h, i: F.when(h.isin(wanted), i)))
+
+
 def hits(docs: DataFrame, items: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """(doc_id, key, n_words, n, i, item_id): verified occurrences of items' windows, at least one row per document."""
     bench = benchmark_windows(items, p)
@@ -88,8 +93,7 @@ def hits(docs: DataFrame, items: DataFrame, p: Decontamination = Decontamination
         sets = {n: [] for n in sizes}
         for r in found.collect():
             sets[r.n].append(r.h)
-        positions = {n: F.array_compact(F.transform(f"h{n}", lambda h, i, n=n: F.when(h.isin(sets[n]), i))) for n in sizes}
-        marked = _windows_at(rows, positions)
+        marked = _windows_at(rows, {n: _positions(n, sets[n]) for n in sizes})
     else:
         every = None
         for n in sizes:
