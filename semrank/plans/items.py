@@ -9,12 +9,15 @@ from semrank.plans.base import query
 from semrank.sources.tables import ITEM_SQL, items, live_items, sources, stamp, table
 
 W = f"WITH {ITEM_SQL}"
-NEWEST = (F.col("sort_date").desc(), F.col("id").desc())
+
+
+def newest_first():
+    return F.col("sort_date").desc(), F.col("id").desc()
 
 
 def newest(df, limit: int, offset: int = 0):
     """The newest items, content left out; negative numbers count as 0."""
-    return df.select("id", "source_id", "title", "sort_date", "read").orderBy(*NEWEST).offset(max(0, offset)).limit(max(0, limit)).select("id", "source_id", "title", stamp("sort_date"))
+    return df.select("id", "source_id", "title", "sort_date", "read").orderBy(*newest_first()).offset(max(0, offset)).limit(max(0, limit)).select("id", "source_id", "title", stamp("sort_date"))
 
 
 def _newest_sql(where: str, limit: int, offset: int = 0) -> str:
