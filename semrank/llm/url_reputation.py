@@ -53,7 +53,7 @@ def suffix(host: Column) -> Column:
 
 def domain(host: Column, suffix: Column) -> Column:
     bare = F.regexp_replace(host, r":[0-9]*$", "")
-    return F.when(bare == suffix, bare).otherwise(F.substring_index(bare, ".", F.when(F.contains(suffix, F.lit(".")), -3).otherwise(-2)))
+    return F.when(bare == suffix, bare).when(F.contains(suffix, F.lit(".")), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
