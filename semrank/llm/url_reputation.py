@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semrank.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -102,7 +104,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, p: Reputation = Reputation
     """pages (page_id, url) with outcomes (page_id, bad boolean): page_id, host, path, rule, verdict."""
     pages = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     marks = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    counted = pages.join(marks, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("bad"))
+    counted = stored(pages.join(marks, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("bad")), "hosts")
     blocked = posteriors(counted, p).where(F.col("bound") > p.bad_rate).select("host", F.lit("block").alias("by_host"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), p.rules)
     return pages.join(blocked, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "by_host", F.lit("allow")).alias("verdict"))
