@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from semrank.plans import base, items, rank, store  # noqa: F401
+from semrank.plans import base, evaluate, items, rank, reader, store  # noqa: F401
 
 
 def queries():
