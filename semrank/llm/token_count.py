@@ -71,7 +71,8 @@ def _boundaries(chunks: DataFrame, overlap: int, p: Counting) -> DataFrame:
             e = library.encode(part, add_special_tokens=False)
             word = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
             fresh = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (word[1:] < 0)))) if len(word) else np.zeros(0, dtype=np.int64)
-            rows = [(start + e.offsets[k][0], e.ids[k], int(k)) for k in fresh]
+            offsets, ids = e.offsets, e.ids  # each access copies the whole list
+            rows = [(start + offsets[k][0], ids[k], int(k)) for k in fresh]
             left = [r for r in rows if no and start < r[0] < start + overlap]
             right = [] if last else [r for r in rows if start + len(part) - overlap < r[0] <= start + len(part) - p.margin]
             name = ("pos", "tok", "before")
