@@ -1,10 +1,9 @@
 """Operator 10: near-duplicate documents by consistent weighted sampling over TF-IDF word shingles.
 
 Method: a document is a bag of 5-word shingles (words as in hashing.FOLDED; a text of 1 to 4 words is one shingle) with
-weight tf x idf. Improved consistent weighted sampling draws one shingle from each of `bins` hash bins (bin-wise sampling
-with densification of empty bins, so a shingle is hashed once, not once per sample), `rows` samples make a band, documents
-that agree on a band are candidates, and a pair is linked if the weighted Jaccard similarity of the two whole bags is at
-least `threshold`. Classes are the connected components of the links.
+weight tf x idf. Improved consistent weighted sampling draws bands x rows samples, each over the whole bag, `rows` samples
+make a band, documents that agree on a band are candidates, and a pair is linked if the weighted Jaccard similarity of the
+two whole bags is at least `threshold`. Classes are the connected components of the links.
 
 idf(t) = 1 + log(max(df/n, rare)) / log(rare), from 1 (in every document) to 2 (in at most a share `rare` of them). Only
 shingles above that share need a count, and there are at most mean-shingles-per-document / rare of these, so the table that
@@ -14,7 +13,7 @@ counts these.
 
 Skew: texts with equal word sequences are one node of the search, whatever their number. A bucket of a band compares its
 members with one leader, not with each other; only members that are not in the leader's class afterwards are compared
-further. For these, `check_samples` one-byte samples estimate the similarity, and a pair is verified unless the estimate is
+further. For these, `check_samples` one-byte samples of the whole bags estimate the similarity, and a pair is verified unless the estimate is
 `check_sigmas` standard errors below the threshold (a chance of about one in a million for a true link). Only documents with
 such a partner get their bags joined, and pairs whose components have been linked meanwhile are passed over. No bucket is
 cut: a large one is dealt out in pairs of segments.
@@ -38,6 +37,8 @@ from semrank.llm.hashing import FOLDED, fingerprints, inside, keys, mix, ngrams,
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
+#: Shingles, or copies of shingles, that are sampled at a time.
+BLOCK = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ class NearDup:
     segment: int = 512
 
     @property
-    def bins(self) -> int:
+    def samples(self) -> int:
         return self.bands * self.rows
 
 
@@ -94,36 +95,95 @@ def _uniform(h: np.ndarray, k: np.uint64) -> np.ndarray:
     return ((mix(h * k) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: int, bins: int, seed: int) -> np.ndarray:
-    """n_rows x bins sample ids; rows without shingles are all ones."""
-    k = keys(seed, 7)
-    r = -np.log(_uniform(shingle, k[0]) * _uniform(shingle, k[1]))
-    c = -np.log(_uniform(shingle, k[2]) * _uniform(shingle, k[3]))
-    beta = _uniform(shingle, k[4])
-    t = np.floor(np.log(weight) / r + beta)
-    a = np.log(c) - r * (t - beta) - r
-    bits = a.astype(np.float32).view(np.uint32)
-    order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-    ident = mix(shingle * k[5] + t.astype(np.int64).astype(np.uint64)) & _U(0xFFFFFFFF)
-    drawn = np.full(n_rows * bins, _EMPTY)
-    spot = row * bins + (mix(shingle * k[6]) % _U(bins)).astype(np.int64)
-    np.minimum.at(drawn, spot, (order << _U(32)) | ident)
-    drawn = drawn.reshape(n_rows, bins)
-    empty = drawn == _EMPTY
-    none = empty.all(axis=1)
-    filled = drawn.copy()
-    i, j = np.nonzero(empty & ~none[:, None])
-    step = 0
-    while len(i):  # an empty bin takes the sample of the first full one in its own fixed order of bins
-        step += 1
-        if step <= 64 * bins:
-            source = (mix((j * 1_000_003 + step).astype(np.uint64) * k[0]) % _U(bins)).astype(np.int64)
-        else:
-            source = (j + step) % bins
-        got = ~empty[i, source]
-        filled[i[got], j[got]] = drawn[i[got], source[got]]
-        i, j = i[~got], j[~got]
-    return filled & _U(0xFFFFFFFF)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Uniform numbers of 23 bits from 32-bit hashes."""
+    u = (x >> np.uint32(9)).view(np.int32).astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2.0**-23)
+    return u
+
+
+def _gamma(h: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) numbers from 64-bit hashes: the two halves of each are independent exponential ones."""
+    u = _unit(h.view(np.uint32))
+    out = u[0::2] * u[1::2]
+    np.log(out, out=out)
+    return np.negative(out, out=out)
+
+
+def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_rows: int, n: int, seed: int) -> np.ndarray:
+    """n_rows x n ids of improved consistent weighted sampling, each sample drawn over the row's whole bag; rows without
+    shingles are all ones. Rows are in order. Two rows agree on a sample with the weighted Jaccard similarity of their bags.
+    """
+    k, each = keys(seed, 6), keys(seed + 1000, n)
+    best = np.full((n, n_rows), _EMPTY)
+    for lo in range(0, len(row), BLOCK):
+        part, s = row[lo : lo + BLOCK], shingle[lo : lo + BLOCK]
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        of = part[first]
+        log_w = np.log(weight[lo : lo + BLOCK]).astype(np.float32)
+        packed = np.arange(len(s), dtype=np.uint64)
+        high = packed.view(np.uint32)[1::2]
+        for i in range(n):
+            h = s * each[i]
+            for mult in k[:2]:
+                h ^= h >> _U(32)
+                h *= mult
+            h ^= h >> _U(29)
+            r = _gamma(h)
+            h *= k[2]
+            beta = _unit(h.view(np.uint32)[1::2])
+            h ^= h >> _U(32)
+            h *= k[3]
+            h ^= h >> _U(29)
+            c = _gamma(h)
+            t = np.floor(log_w / r + beta)
+            beta -= t
+            beta -= np.float32(1)
+            beta *= r
+            c *= np.exp(beta, out=beta)
+            high[:] = c.view(np.uint32)  # positive: ordered as its bits
+            low = np.minimum.reduceat(packed, first)
+            at = (low & _U(0xFFFFFFFF)).astype(np.int64)
+            ident = mix(s[at] * k[4] + t[at].astype(np.int64).astype(np.uint64) * k[5]) & _U(0xFFFFFFFF)
+            best[i, of] = np.minimum(best[i, of], (low & _U(0xFFFFFFFF00000000)) | ident)
+    return np.ascontiguousarray(best.T) & _U(0xFFFFFFFF)
+
+
+def check_samples(row: np.ndarray, shingle: np.ndarray, tf: np.ndarray, idf_: np.ndarray, n_rows: int, n: int, seed: int) -> np.ndarray:
+    """n_rows x n ids that agree with the weighted Jaccard similarity of the bags, at a cost that doesn't grow with n times
+    the bag: each of a shingle's tf copies sends marked points at rate n x idf, and each mark's first point is its sample.
+    """
+    k = keys(seed, 6)
+    total = np.bincount(row, tf * idf_, n_rows)
+    ends = np.cumsum(tf.astype(np.int64))
+    drawn = np.full(n_rows * n, _EMPTY)
+    todo = total > 0
+    until = (np.log(n) + 3) / np.where(todo, total, 1)
+    while todo.any():
+        for lo in range(0, int(ends[-1]), BLOCK):
+            copy = np.arange(lo, min(lo + BLOCK, int(ends[-1])))
+            of = np.searchsorted(ends, copy, side="right")
+            some = todo[row[of]]
+            copy, of = copy[some], of[some]
+            layer = (copy - (ends[of] - tf[of].astype(np.int64))).astype(np.uint64)
+            e, rate, at_row = mix(shingle[of] * k[0] + layer * k[1]), n * idf_[of], row[of]
+            last, time, seen, size = until[at_row], np.zeros(len(of)), 0, 1
+            while len(e):
+                h = mix(e[:, None] + np.arange(seen + 1, seen + size + 1, dtype=np.uint64) * k[2])
+                when = time[:, None] + np.cumsum(-np.log(_uniform(h, k[3])), axis=1) / rate[:, None]
+                i, j = np.nonzero(when <= last[:, None])
+                point = h[i, j]
+                spot = at_row[i] * n + (mix(point * k[4]) % _U(n)).astype(np.int64)
+                order = when[i, j].astype(np.float32).view(np.uint32).astype(np.uint64)
+                np.minimum.at(drawn, spot, (order << _U(32)) | (mix(point * k[5]) & _U(0xFFFFFFFF)))
+                time = when[:, -1]
+                on = time <= last
+                e, rate, at_row, last, time = e[on], rate[on], at_row[on], last[on], time[on]
+                seen, size = seen + size, min(seen + size, 512)
+        todo = todo & (drawn.reshape(n_rows, n) == _EMPTY).any(axis=1)
+        until = until * 2
+    return drawn.reshape(n_rows, n) & _U(0xFFFFFFFF)
 
 
 def band_keys(ids: np.ndarray, p: NearDup) -> np.ndarray:
@@ -196,16 +256,16 @@ def common_shingles(docs: DataFrame, n_docs: int, p: NearDup) -> tuple[np.ndarra
 def _weights(b, common, p: NearDup) -> Iterator[tuple]:
     for lo, hi, words, offs in word_slices(b.column("text"), FOLDED):
         row, grams, tf = shingles(words, offs, p.shingle)
-        yield lo, hi, words, offs, row, grams, tf * idf(grams, *common.value)
+        yield lo, hi, words, offs, row, grams, tf, idf(grams, *common.value)
 
 
 def _signatures(docs: DataFrame, common, p: NearDup) -> DataFrame:
     """(doc_id, f1, f2, bands): fingerprint of the word sequence and the band keys; no row for a text without words."""
 
     def sign(b):
-        for lo, hi, words, offs, row, grams, weight in _weights(b, common, p):
+        for lo, hi, words, offs, row, grams, tf, rarity in _weights(b, common, p):
             full = np.flatnonzero(np.diff(offs))
-            bands = band_keys(samples(row, grams, weight, hi - lo, p.bins, p.seed), p)[full].astype(np.int64)
+            bands = band_keys(samples(row, grams, tf * rarity, hi - lo, p.samples, p.seed), p)[full].astype(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * p.bands), pa.array(bands.ravel()))
             ids = b.column("doc_id").slice(lo, hi - lo).take(pa.array(full))
             yield batch(doc_id=ids, f1=fingerprints(words, offs, 3)[full].astype(np.int64), f2=fingerprints(words, offs, 4)[full].astype(np.int64), bands=flat)
@@ -219,15 +279,16 @@ def _bags(docs: DataFrame, common, p: NearDup) -> DataFrame:
     """
 
     def pack(b):
-        for lo, hi, words, offs, row, grams, weight in _weights(b, common, p):
+        for lo, hi, words, offs, row, grams, tf, rarity in _weights(b, common, p):
+            weight = tf * rarity
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
             bags = [grams[x:y].tobytes() + weight[x:y].astype(np.float32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
             sigs = []
-            for at in range(0, hi - lo, 1024):  # bounds the table of samples
-                x, y = cut[at], cut[min(hi - lo, at + 1024)]
-                ids = samples(row[x:y] - at, grams[x:y], weight[x:y], min(1024, hi - lo - at), p.check_samples, p.seed + 99)
+            for at in range(0, hi - lo, 128):  # bounds the table of samples
+                x, y = cut[at], cut[min(hi - lo, at + 128)]
+                ids = check_samples(row[x:y] - at, grams[x:y], tf[x:y], rarity[x:y], min(128, hi - lo - at), p.check_samples, p.seed + 99)
                 sigs += [s.tobytes() for s in ids.astype(np.uint8)]
-            bands = [x.tobytes() for x in band_keys(samples(row, grams, weight, hi - lo, p.bins, p.seed), p)]
+            bands = [x.tobytes() for x in band_keys(samples(row, grams, weight, hi - lo, p.samples, p.seed), p)]
             yield batch(doc_id=b.column("doc_id").slice(lo, hi - lo), bag=pa.array(bags, pa.binary()), sig=pa.array(sigs, pa.binary()), keys=pa.array(bands, pa.binary()))
 
     return map_arrow(docs.select("doc_id", "text"), pack, "doc_id long, bag binary, sig binary, keys binary")

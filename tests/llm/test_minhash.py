@@ -2,9 +2,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from semrank.llm.minhash import NearDup, near_duplicates
+from semrank.llm.minhash import NearDup, check_samples, near_duplicates, samples
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -80,3 +81,34 @@ def test_empty_table_repeated_rows_and_other_columns(spark):
     rows = [(1, "a b c d e f", 5, "x"), (1, "a b c d e f", 5, "x"), (2, "A b c d e f", 6, "y"), (None, None, None, None)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, rep long, band string")).collect()
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (None, None, True)} and len(got) == 3
+
+
+def test_lines_repeated_hundreds_of_times(spark):
+    """Most of the weight is in ten shingles, beside different own text: linked by the whole bag, or by none of it."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(6):
+        line = text(rng, 10)
+        rows += [(len(rows) + k, " ".join([line] * 400) + " " + text(rng, own)) for k, own in enumerate((250, 250, 300, 300, 4000))]
+    rows += [(len(rows) + k, text(rng, 80)) for k in range(30)]
+    p = NearDup()
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    want = brute(rows, p)
+    assert got == want
+    assert want[3] == 0 and want[4] == 4
+
+
+@pytest.mark.parametrize("own, n_shared, tf", [(500, 10, 400), (200, 300, 1), (0, 20, 3), (40, 1, 1000), (900, 100, 2)])
+def test_samples_agree_with_the_weighted_jaccard_of_the_bags(own, n_shared, tf):
+    rng = np.random.default_rng(own)
+    shared, one, two = (rng.integers(0, 1 << 48, size=n, dtype=np.uint64) for n in (n_shared, own, own))
+    grams = np.concatenate([shared, one, shared, two])
+    row = np.repeat([0, 1], n_shared + own)
+    copies = np.concatenate([np.full(n_shared, tf), np.ones(own), np.full(n_shared, tf * 2), np.ones(own)]).astype(float)
+    idf = np.concatenate([np.full(n_shared, 1.3), np.full(own, 2.0)] * 2)
+    weight = copies * idf
+    low, high = weight[: n_shared + own], weight[n_shared + own :]
+    least = low[:n_shared].sum()
+    want = least / (low.sum() + high.sum() - least)
+    for ids in (samples(row, grams, weight, 2, 4096, 3), check_samples(row, grams, copies, idf, 2, 4096, 3)):
+        assert abs((ids[0] == ids[1]).mean() - want) < 4 * (want * (1 - want) / 4096) ** 0.5 + 0.001
