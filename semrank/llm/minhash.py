@@ -5,11 +5,11 @@ weight tf x idf. Improved consistent weighted sampling draws bands x rows sample
 make a band, documents that agree on a band are candidates, and a pair is linked if the weighted Jaccard similarity of the
 two whole bags is at least `threshold`. Classes are the connected components of the links.
 
-idf(t) = 1 + log(max(df/n, rare)) / log(rare), from 1 (in every document) to 2 (in at most a share `rare` of them). Only
-shingles above that share need a count, and there are at most mean-shingles-per-document / rare of these, so the table that
-goes to every task has a bound that doesn't depend on the corpus. Their counts are exact and cover all documents: a shingle
-in a share `rare` of all documents has that share in at least one block, so blocks name the candidates and a second pass
-counts these.
+idf(t) = 1 + log(df/n) / log(rare): 1 in every document, 2 in a share `rare` of them, growing with log(n/df) without a bound.
+df is exact for every shingle. Those of more than a share `rare` go to every task: there are at most
+mean-shingles-per-document / rare of these, so the table has a bound that doesn't depend on the corpus. A shingle in a share
+`rare` of all documents has that share in at least one block, so blocks name the candidates and a second pass counts these.
+All others are dealt by hash to tasks that count them, and go back to their documents with their counts.
 
 Skew: texts with equal word sequences are one node of the search, whatever their number. A bucket of a band compares its
 members with one leader, not with each other; only members that are not in the leader's class afterwards are compared
@@ -51,6 +51,8 @@ class NearDup:
     seed: int = 17
     #: Shingles in a block of the first pass over document frequencies.
     block: int = 1 << 21
+    #: Bytes of text whose shingles are counted together.
+    part_bytes: int = 1 << 23
     #: Candidates for the table of common shingles beyond which their counts come from a shuffle of all shingles.
     max_common: int = 1 << 21
     check_samples: int = 1024
@@ -81,14 +83,24 @@ def shingles(words: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, n
     return (joint >> _U(48)).astype(np.int64), joint & _U((1 << 48) - 1), tf
 
 
-def idf(found: np.ndarray, common: np.ndarray, common_idf: np.ndarray) -> np.ndarray:
-    """idf of each shingle; common: sorted shingles that have less than the highest."""
-    out = np.full(len(found), 2.0)
+def idf(row: np.ndarray, found: np.ndarray, b: pa.RecordBatch, lo: int, hi: int, common, p: NearDup) -> np.ndarray:
+    """idf of each shingle of rows lo to hi of b, from the common shingles and the rows' own tables of repeated ones; a shingle
+    that is in neither is in this document only.
+    """
+    common, common_df, n_docs = common.value
+    df = np.ones(len(found))
     if len(common) and len(found):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         hit = common[at] == found
-        out[hit] = common_idf[at[hit]]
-    return out
+        df[hit] = common_df[at[hit]]
+    tables = [(i, x.as_py(), y.as_py()) for i, (x, y) in enumerate(zip(b.column("grams").slice(lo, hi - lo), b.column("dfs").slice(lo, hi - lo), strict=True)) if x.is_valid]
+    if tables:
+        known = np.concatenate([np.frombuffer(x, _U) | _U(i << 48) for i, x, _ in tables])
+        counts = np.concatenate([np.frombuffer(y, np.uint32) for _, _, y in tables])
+        joint = (row.astype(_U) << _U(48)) | found
+        at = np.searchsorted(joint, known)
+        df[at] = counts
+    return 1 + np.log(df / max(n_docs, 1)) / np.log(p.rare)
 
 
 def _uniform(h: np.ndarray, k: np.uint64) -> np.ndarray:
@@ -225,7 +237,7 @@ def _doc_frequencies(docs: DataFrame, p: NearDup, keep: str) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame, n_docs: int, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of more than a share `rare` of the documents, sorted, and their idf. n_docs: documents with words."""
+    """Shingles of more than a share `rare` of the documents, sorted, and their df. n_docs: documents with words."""
     spark = docs.sparkSession
     frequent = stored(_doc_frequencies(docs, p, "frequent").select("shingle").distinct(), "frequent")
     n = frequent.count()
@@ -250,13 +262,80 @@ def common_shingles(docs: DataFrame, n_docs: int, p: NearDup) -> tuple[np.ndarra
     forget(frequent)
     grams, df = np.array(found.column("shingle")).astype(np.uint64), np.array(found.column("df")).astype(np.float64)
     order = np.argsort(grams)
-    return grams[order], 1 + np.log(df[order] / max(n_docs, 1)) / np.log(p.rare)
+    return grams[order], df[order]
+
+
+def _dealt(key: np.ndarray, parts: int, **columns) -> Iterator[pa.RecordBatch]:
+    """(part, columns): the values of each part of the keys as bytes."""
+    part = (mix(key) % _U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    cuts = np.append(first, len(order))
+    columns = {k: x[order] for k, x in columns.items()}
+    blobs = {k: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k, x in columns.items()}
+    yield batch(part=found, **blobs)
+
+
+def _gathered(batches, **kinds) -> list[np.ndarray]:
+    """The values of all rows of _dealt()."""
+    rows = {k: [] for k in kinds}
+    for b in batches:
+        for k in kinds:
+            rows[k] += [np.frombuffer(x, kinds[k]) for x in b.column(k).to_pylist()]
+    return [np.concatenate(rows[k]) if rows[k] else np.zeros(0, kinds[k]) for k in kinds]
+
+
+def repeated_shingles(docs: DataFrame, common, p: NearDup) -> DataFrame:
+    """(k, grams, dfs): of each document, the shingles that others have too and that aren't common, sorted (8 bytes each), and
+    the number of documents of each (4). Every shingle is counted.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, size // p.part_bytes + 1)
+
+    def send(b):
+        k = np.array(b.column("k")).astype(_U)
+        for lo, hi, words, offs in word_slices(b.column("text"), FOLDED):
+            row, grams, _ = shingles(words, offs, p.shingle)
+            known = common.value[0]
+            if len(known) and len(grams):
+                keep = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] != grams
+                row, grams = row[keep], grams[keep]
+            if len(grams):
+                yield from _dealt(grams, parts, ks=k[lo:hi][row], grams=grams)
+
+    def count(batches):
+        ks, grams = _gathered(batches, ks=_U, grams=_U)
+        order = np.argsort(grams)
+        ks, grams = ks[order], grams[order]
+        new = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+        n = np.diff(np.append(new, len(grams)))
+        df = np.repeat(n, n).astype(np.uint32)
+        some = df > 1
+        if some.any():
+            yield from _dealt(ks[some], parts, ks=ks[some], grams=grams[some], dfs=df[some])
+
+    def regroup(batches):
+        ks, grams, df = _gathered(batches, ks=_U, grams=_U, dfs=np.uint32)
+        if len(ks):
+            order = np.lexsort((grams, ks))
+            ks, grams, df = ks[order], grams[order], df[order]
+            new = np.concatenate(([True], (ks[1:] != ks[:-1]) | (grams[1:] != grams[:-1])))  # rows that are equal throughout
+            ks, grams, df = ks[new], grams[new], df[new]
+            first = np.flatnonzero(np.concatenate(([True], ks[1:] != ks[:-1])))
+            cuts = list(zip(first, np.append(first[1:], len(ks)), strict=True))
+            for at in range(0, len(cuts), 4096):
+                some = cuts[at : at + 4096]
+                yield batch(k=ks[first[at : at + 4096]].astype(np.int64), grams=pa.array([grams[i:j].tobytes() for i, j in some], pa.binary()), dfs=pa.array([df[i:j].tobytes() for i, j in some], pa.binary()))
+
+    sent = map_arrow(docs.select("k", "text"), send, "part int, ks binary, grams binary").repartition(parts, "part")
+    counted = sent.mapInArrow(count, "part int, ks binary, grams binary, dfs binary").repartition(parts, "part")
+    return counted.mapInArrow(regroup, "k long, grams binary, dfs binary")
 
 
 def _weights(b, common, p: NearDup) -> Iterator[tuple]:
     for lo, hi, words, offs in word_slices(b.column("text"), FOLDED):
         row, grams, tf = shingles(words, offs, p.shingle)
-        yield lo, hi, words, offs, row, grams, tf, idf(grams, *common.value)
+        yield lo, hi, words, offs, row, grams, tf, idf(row, grams, b, lo, hi, common, p)
 
 
 def _signatures(docs: DataFrame, common, p: NearDup) -> DataFrame:
@@ -270,7 +349,7 @@ def _signatures(docs: DataFrame, common, p: NearDup) -> DataFrame:
             ids = b.column("doc_id").slice(lo, hi - lo).take(pa.array(full))
             yield batch(doc_id=ids, f1=fingerprints(words, offs, 3)[full].astype(np.int64), f2=fingerprints(words, offs, 4)[full].astype(np.int64), bands=flat)
 
-    return map_arrow(docs.select("doc_id", "text"), sign, "doc_id long, f1 long, f2 long, bands array<long>")
+    return map_arrow(docs.select("doc_id", "text", "grams", "dfs"), sign, "doc_id long, f1 long, f2 long, bands array<long>")
 
 
 def _bags(docs: DataFrame, common, p: NearDup) -> DataFrame:
@@ -291,7 +370,7 @@ def _bags(docs: DataFrame, common, p: NearDup) -> DataFrame:
             bands = [x.tobytes() for x in band_keys(samples(row, grams, weight, hi - lo, p.samples, p.seed), p)]
             yield batch(doc_id=b.column("doc_id").slice(lo, hi - lo), bag=pa.array(bags, pa.binary()), sig=pa.array(sigs, pa.binary()), keys=pa.array(bands, pa.binary()))
 
-    return map_arrow(docs.select("doc_id", "text"), pack, "doc_id long, bag binary, sig binary, keys binary")
+    return map_arrow(docs.select("doc_id", "text", "grams", "dfs"), pack, "doc_id long, bag binary, sig binary, keys binary")
 
 
 def weighted_jaccard(one: bytes, two: bytes) -> float:
@@ -397,17 +476,21 @@ def _missed_links(members: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id of its class), kept (doc_id = component_id)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
     n_docs = docs.where(F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")).count()
-    common = spark.sparkContext.broadcast(common_shingles(docs, n_docs, p))
-    signed = stored(_signatures(docs, common, p), "signatures")
+    common = spark.sparkContext.broadcast((*common_shingles(docs, n_docs, p), n_docs))
+    counts = stored(repeated_shingles(docs, common, p), "counts")
+    counted = docs.join(counts.hint("shuffle_hash"), "k", "left")
+    signed = stored(_signatures(counted, common, p), "signatures")
     copies = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(copies, ["f1", "f2"])
     keys_ = reps.where("doc_id = rep").select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = keys_.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
     buckets = stored(keys_.join(shared.select("band", "key", "leader"), ["band", "key"]), "buckets")
     # The hint keeps one plan at every size: texts are shuffled, never sorted, and the ids are the hashed side.
-    bags = stored(_bags(docs.join(buckets.select("doc_id").distinct().hint("shuffle_hash"), "doc_id"), common, p), "bags")
+    wanted = docs.join(buckets.select("doc_id").distinct().hint("shuffle_hash"), "doc_id")
+    bags = stored(_bags(wanted.join(counts.hint("shuffle_hash"), "k", "left"), common, p), "bags")
+    forget(counts)
     stars = buckets.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stored(_verify(stars, bags, p).select("a", "b"), "links")
     found = stored(components(links), "classes")

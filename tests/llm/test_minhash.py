@@ -112,3 +112,19 @@ def test_samples_agree_with_the_weighted_jaccard_of_the_bags(own, n_shared, tf):
     want = least / (low.sum() + high.sum() - least)
     for ids in (samples(row, grams, weight, 2, 4096, 3), check_samples(row, grams, copies, idf, 2, 4096, 3)):
         assert abs((ids[0] == ids[1]).mean() - want) < 4 * (want * (1 - want) / 4096) ** 0.5 + 0.001
+
+
+def test_idf_grows_below_the_common_share(spark):
+    """A template that 3 of 400 documents share weighs less than text of one document only, and it doesn't link them."""
+    rng = random.Random(8)
+    template = text(rng, 400)
+    rows = [(k, template + " " + text(rng, 46)) for k in range(3)] + [(10 + k, text(rng, 30)) for k in range(397)]
+    p = NearDup()
+    bags = [Counter(zip(*(t.split()[j:] for j in range(5)))) for _, t in rows[:2]]
+    shared = sum((bags[0] & bags[1]).values())
+    own = sum(bags[0].values()) - shared
+    weigh = lambda df: 1 + math.log(df / len(rows)) / math.log(p.rare)
+    flat, exact = shared / (shared + 2 * own), shared * weigh(3) / (shared * weigh(3) + 2 * own * weigh(1))
+    assert exact < p.threshold < flat
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), p).collect()}
+    assert got == {i: i for i, _ in rows}
