@@ -36,6 +36,8 @@ BASE = f"""WITH {ITEM_SQL}, {sentence_sql()}, near AS (SELECT *, {TEXT_HASH_SQL}
   judged AS (SELECT *, {judge_sql(TEXT, 'sentence')} AS p FROM pair),
   shown AS (SELECT *, CASE WHEN pin_id = 4 THEN least(p, {LIST_CAP!r}::DOUBLE) ELSE p END AS shown FROM judged),
   banded AS (SELECT *, CASE WHEN shown >= 0.6 THEN 2 WHEN shown >= 0.45 THEN 1 ELSE 0 END AS band FROM shown)"""
+#: The same over all live items: judging, the cache and requests have no window of their own.
+BASE_ALL = BASE.replace(" ORDER BY live.sort_date DESC, id DESC LIMIT 300", "")
 VIEWED = "CASE WHEN pin_id % 2 = 0 THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '0001-01-01' END"
 
 
@@ -47,18 +49,23 @@ def _pairs(spark, sf, texts=SENTENCES):
     return rank.pairs(_near(spark, sf), rank.framed(spark, texts))
 
 
+def _all_pairs(spark, sf):
+    return rank.pairs(live_items(spark, sf).withColumn("text_hash", item_text_hash()), rank.framed(spark, SENTENCES))
+
+
 def _banded(spark, sf, texts=SENTENCES):
     return rank.banded(rank.judge(_pairs(spark, sf, texts)))
 
 
-def _cached(spark, sf):
+def _cached(spark, sf, pairs=_pairs):
     """Judgments of two thirds of the texts, for the first three sentences, one third by an older model."""
-    rows = rank.judge(_pairs(spark, sf)).where("id % 3 <> 1 AND pin_id < 3")
+    rows = rank.judge(pairs(spark, sf)).where("id % 3 <> 1 AND pin_id < 3")
     model = F.when(F.col("id") % 3 == 0, MODEL).otherwise("overlap-0")
     return rows.select("text_hash", "frame_hash", model.alias("model"), "p").distinct()
 
 
 CACHE = f"{BASE}, cache AS (SELECT DISTINCT text_hash, frame_hash, p FROM judged WHERE id % 3 = 0 AND pin_id < 3)"
+CACHE_ALL = CACHE.replace(BASE, BASE_ALL)
 
 
 @query("ranked_search", f"""{BASE} SELECT row_number() OVER (ORDER BY round(shown * 20) DESC, sort_date DESC, id DESC) AS position, id, coalesce(s.title, '') AS source_title, round(shown, 6) AS p, band
@@ -112,6 +119,42 @@ def cache_union_buffer(spark, sf):
     return rank.read_your_writes(stored, stored.where("p < 0.1").withColumn("p", F.lit(0.25))).select("text_hash", "frame_hash", "p")
 
 
+@query("judge_overlap_all", f"{BASE_ALL} SELECT id, pin_id, p FROM judged")
+def judge_overlap_all(spark, sf):
+    return rank.judge(_all_pairs(spark, sf)).select("id", "pin_id", "p")
+
+
+@query("terms_overlap_all", f"{BASE_ALL} SELECT id, pin_id, {shared_sql(TEXT, 'sentence')}::BIGINT AS shared FROM pair")
+def terms_overlap_all(spark, sf):
+    return _all_pairs(spark, sf).select("id", "pin_id", rank.overlap(rank.judged_text(), F.col("sentence")).cast("long").alias("shared"))
+
+
+@query("sentence_cap_all", f"{BASE_ALL} SELECT id, shown, band FROM banded WHERE pin_id = 4")
+def sentence_cap_all(spark, sf):
+    return rank.banded(rank.judge(_all_pairs(spark, sf))).where("pin_id = 4").select("id", "shown", "band")
+
+
+@query("missing_pairs_all", f"{CACHE_ALL} SELECT id, pin_id FROM pair ANTI JOIN cache USING (text_hash, frame_hash)")
+def missing_pairs_all(spark, sf):
+    return rank.missing(_all_pairs(spark, sf), _cached(spark, sf, _all_pairs), MODEL).select("id", "pin_id")
+
+
+@query("requests_per_item_all", f"{CACHE_ALL} SELECT text_hash, count(DISTINCT frame_hash) AS frames FROM pair ANTI JOIN cache USING (text_hash, frame_hash) GROUP BY text_hash")
+def requests_per_item_all(spark, sf):
+    return rank.requests(rank.missing(_all_pairs(spark, sf), _cached(spark, sf, _all_pairs), MODEL)).select("text_hash", F.size("frames").cast("long").alias("frames"))
+
+
+@query("cache_join_all", f"{CACHE_ALL} SELECT id, pin_id, cache.p FROM pair LEFT JOIN cache USING (text_hash, frame_hash)")
+def cache_join_all(spark, sf):
+    return rank.with_answers(_all_pairs(spark, sf), _cached(spark, sf, _all_pairs), MODEL).select("id", "pin_id", "p")
+
+
+@query("cache_union_buffer_all", f"{CACHE_ALL}, buffer AS (SELECT text_hash, frame_hash, 0.25::DOUBLE AS p FROM cache WHERE p < 0.1) SELECT text_hash, frame_hash, coalesce(buffer.p, cache.p) AS p FROM cache LEFT JOIN buffer USING (text_hash, frame_hash)")
+def cache_union_buffer_all(spark, sf):
+    stored = _cached(spark, sf, _all_pairs).where(F.col("model") == MODEL)
+    return rank.read_your_writes(stored, stored.where("p < 0.1").withColumn("p", F.lit(0.25))).select("text_hash", "frame_hash", "p")
+
+
 def _lists(spark, sf):
     viewed = F.when(F.col("pin_id") % 2 == 0, F.expr("timestamp_ntz'2024-01-20'"))
     return rank.pin_lists(_banded(spark, sf).withColumn("viewed", viewed))
