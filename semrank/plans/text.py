@@ -72,6 +72,13 @@ def boilerplate_strip(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.without_boilerplate(excerpt).alias("text"))
 
 
+@query("boilerplate_strip_whole", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || '.' WHEN 1 THEN regexp_replace(text, '\\s+$', '') ELSE text END AS text FROM documents")
+def boilerplate_strip_whole(spark, sf):
+    """Footers go from the ends of whole texts, whatever their length."""
+    whole = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(". Read more about it"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" The post News appeared first on Site"))).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", text.without_boilerplate(whole).alias("text"))
+
+
 @query("url_host_kind", """SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS host, 'feed' AS kind FROM pages""")
 def url_host_kind(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.bare_host(F.col("url")).alias("host"), urls.source_kind(F.col("url")).alias("kind"))

@@ -23,3 +23,9 @@ def test_every_live_item_is_judged(spark, con):
     live = con.sql("SELECT count(*) FROM documents WHERE source <> 'src3'").fetchall()[0][0]
     assert live > 300
     assert registry.queries()["judge_overlap_all"](spark, SF).select("id").distinct().count() == live
+
+
+def test_footers_go_from_whole_texts(spark, con):
+    got = registry.queries()["boilerplate_strip_whole"](spark, SF)
+    assert differences(got, con, registry.oracle_sql()["boilerplate_strip_whole"]) == []
+    assert got.where("length(text) > 1000").count() > 0
