@@ -12,21 +12,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one of this machine."""
+    """The shared folder of the session, spark.checkpoint.dir; where that is unset, a temporary folder on a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="semrank-"))
         at = sc._jsc.sc().getCheckpointDir().get()
     return at.rstrip("/")
 
 
+#: Shuffle files of a finished write are deleted at once, not when the driver's garbage collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: its lineage ends there and lost executors don't lose it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
@@ -53,6 +64,20 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) if not isinstance(x, (pa.Array, pa.ChunkedArray)) else x for x in columns.values()], names=list(columns))
 
 
+def lookup(left: DataFrame, right: DataFrame, on: list[str], size: str = "n", how: str = "inner", most: int = 1000) -> DataFrame:
+    """left with the columns of right, which has one row per key; its column `size`, which is dropped, counts the rows of left
+    with that key. Keys of more than 1/most of these rows, so fewer than `most` keys, are broadcast and their rows stay where
+    they are; the others meet by shuffle. right is read three times and left twice: both are written tables or cheap.
+    """
+    each = (right.agg(F.sum(size)).first()[0] or 0) / most
+    values = [c for c in right.columns if c not in on and c != size]
+    hot = right.where(F.col(size) > each).select(*on, F.struct(F.lit(True).alias("_is"), *values).alias("_hot"))
+    marked = left.join(F.broadcast(hot), on, "left")
+    here = marked.where("_hot is not null").select(*left.columns, *[F.col(f"_hot.{c}").alias(c) for c in values])
+    there = marked.where("_hot is null").select(*left.columns).join(right.where(F.col(size) <= each).select(*on, *values), on, how)
+    return here.unionByName(there.select(*left.columns, *values))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable from each id of the edges.
 

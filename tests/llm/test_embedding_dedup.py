@@ -1,6 +1,6 @@
 import numpy as np
 
-from semrank.llm.embedding_dedup import Projections, calibrated, near_duplicates
+from semrank.llm.embedding_dedup import Projections, collisions, near_duplicates, plan, sized
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -62,6 +62,31 @@ def test_doubles_and_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_work_follows_rows():
-    small, large = calibrated(10_000, Projections()), calibrated(10_000_000, Projections())
-    assert large.bits - small.bits == 10 and large.tables < 5 * small.tables
+def test_huge_and_tiny_doubles(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 1e199]), (3, [1e-200, 0.0]), (4, [0.0, 1e300]), (5, [0.0, 5e-324])]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4)}
+
+
+def test_a_third_of_the_rows_is_one_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(16)], 0) for i in range(400)]
+    rows += [(1000 + i, [1.0] * 16, 0) for i in range(200)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(table).collect()}
+    assert got == brute(rows)
+
+
+def test_count_is_calibrated_for_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for size, n in ((64, 10**5), (64, 10**7), (256, 10**6), (8, 1000)):
+        p = sized(n, Projections())
+        made = plan(size, p)
+        x, u = rng.standard_normal((2, 5000, size))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        u -= (u * x).sum(axis=1, keepdims=True) * x
+        y = p.cosine * x + (1 - p.cosine**2) ** 0.5 * u / np.linalg.norm(u, axis=1, keepdims=True)
+        a, b = made.members(x, size), made.members(y, size)
+        count, _ = collisions(np.concatenate([a[0], b[0]], axis=1), np.concatenate([a[1], b[1]], axis=1), made.window)
+        assert made.count >= 2 and (count >= made.count).mean() > 0.9995
+    assert sized(10**9, Projections()).terms > sized(1000, Projections()).terms
