@@ -12,8 +12,12 @@ from semrank.streaming import ingest
 
 
 def _scratch(spark) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semrank-")
+    """A new folder in the shared checkpoint folder; a temporary one where that is unset, on a local master only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="semrank-")
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
