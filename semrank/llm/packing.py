@@ -9,9 +9,9 @@ next. Two forms:
   their own and only their tails are packed. When nothing fits, the longest piece left is cut to fill the sequence exactly;
   a sequence that can't be filled is cut into sequences whose lengths are powers of two, so no padding is needed.
 
-Packing runs in shards of about `shard` pieces that are dealt out by a hash of the piece, so a shard is bounded by
-shard x max_tokens ids however long a document is, and the result doesn't depend on task order. Ids travel as 2-byte
-integers where the vocabulary allows it.
+Packing runs in shards of about `shard` pieces that are dealt out by a hash of the piece and its row, so a shard is bounded by
+shard x max_tokens ids however long a document is and however often a row repeats. Four shards make a partition, so tasks
+don't grow with the input. Ids travel as 2-byte integers where the vocabulary allows it.
 
 Defined results: null text counts as empty (its document is the end id alone). Rows that repeat a doc_id are packed like
 other rows. An example beyond a limit by itself gets a sequence of its own with `oversize` true. Other columns are ignored.
@@ -113,7 +113,9 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), shard: int = 4
 
 
 def _pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, crc, ids): heads of `size` ids with their crc, the tail with its ids."""
+    """(doc_id, start, length, doc_tokens, crc, ids, row): heads of `size` ids with their crc, the tail with its ids; row tells
+    rows of one doc_id apart.
+    """
 
     def run(b):
         texts = b.column("text").to_pylist()
@@ -132,17 +134,19 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
                     whole = len(part) == size
                     rows.append((i, s, len(part), n, zlib.crc32(part.astype("<u4").tobytes()) if whole else None, None if whole else part.tobytes()))
             which, start, length, total, crc, ids = zip(*rows, strict=True)
-            yield batch(doc_id=b.column("doc_id").take(pa.array(which)), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), doc_tokens=pa.array(total, pa.int64()), crc=pa.array(crc, pa.int64()), ids=pa.array(ids, pa.binary()))
+            yield batch(doc_id=b.column("doc_id").take(pa.array(which)), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), doc_tokens=pa.array(total, pa.int64()), crc=pa.array(crc, pa.int64()), ids=pa.array(ids, pa.binary()), row=pa.array(which, pa.int64()))
 
-    return map_arrow(docs, run, "doc_id long, start long, length long, doc_tokens long, crc long, ids binary")
+    return map_arrow(docs, run, "doc_id long, start long, length long, doc_tokens long, crc long, ids binary, row long")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits = Limits(), shard: int = 4096) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. path: a tokenizer file."""
     size = min(limits.tokens, limits.loss)
     limits = Limits(size, limits.segments, size)
-    shards = max(1, -(-docs.count() // shard))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # A text has at most as many ids as bytes, and its end.
+    most = docs.agg(F.sum(F.floor((F.octet_length("text") + 1) / size) + 1)).first()[0] or 0
+    shards = max(1, -(-most // shard))
     pieces = _pieces(docs, path, end_id, size)
 
     def pack(t: pa.Table) -> pa.Table:
@@ -166,5 +170,6 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits =
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.table([t.column("doc_id").take(k), start, length, crc, t.column("doc_tokens").take(k), pa.array(np.array(s) + base), at], names=names)
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-shards // 4))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(shards))).repartition(parts, "shard")
     return dealt.groupBy("shard").applyInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
