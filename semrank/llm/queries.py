@@ -146,19 +146,23 @@ WITH u AS (
   SELECT host, n, bad, suffix, CASE WHEN bare = suffix THEN bare WHEN contains(suffix, '.') THEN array_to_string(parts[-3:], '.') ELSE two END AS domain FROM h2
 ), d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL
 ), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL
-), t AS (SELECT sum(n) AS n, sum(bad) AS bad, CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.0 END AS rate FROM s
-), g AS (
-  SELECT l, count(*) AS g, sum(x.n * pow(x.bad / x.n - t.rate, 2)) AS s, sum(x.n * x.n / t.n) AS nn
-  FROM (SELECT 's' AS l, n, bad FROM s UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 'h', n, bad FROM h) x, t WHERE x.n > 0 GROUP BY l
-), r AS (
-  SELECT l, CASE WHEN t.n - nn - (g - 1) > 0 AND t.rate > 0 AND t.rate < 1 THEN (s / (t.rate * (1 - t.rate)) - (g - 1)) / (t.n - nn - (g - 1)) ELSE 0 END AS rho FROM g, t
-), k AS (
-  SELECT coalesce(max(v) FILTER (l = 's'), 10000) AS ks, coalesce(max(v) FILTER (l = 'd'), 10000) AS kd, coalesce(max(v) FILTER (l = 'h'), 10000) AS kh
-  FROM (SELECT l, CASE WHEN rho > 0 THEN least(10000, greatest(1, 1 / rho - 1)) ELSE 10000 END AS v FROM r)
-), ms AS (SELECT suffix, (bad + ks * rate) / (s.n + ks) AS m FROM s, k, (SELECT rate FROM t)
-), md AS (SELECT d.suffix, d.domain, (d.bad + kd * ms.m) / (d.n + kd) AS m FROM d JOIN ms USING (suffix), k
-), mh AS (SELECT h.host, h.n, (h.bad + kh * md.m) / (h.n + kh) AS m FROM h JOIN md USING (suffix, domain), k
-), b AS (SELECT host FROM mh, k WHERE m - 1.645 * sqrt(m * (1 - m) / (n + kh + 1)) > 0.5
+), t AS (
+  SELECT n, (bad + 2.0) / (n + 20.0) AS m, (bad + 2.0) / (n + 20.0) * (1 - (bad + 2.0) / (n + 20.0)) / (n + 21.0) AS v
+  FROM (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM s)
+), s1 AS (SELECT s.*, t.m AS pm, t.v AS pv FROM s, t
+), ks AS (SELECT CASE WHEN g = 0 OR nn = g THEN 10.0 WHEN q <= g THEN 10000.0 ELSE least(10000.0, greatest(1.0, (nn - g) / (q - g) - 1)) END AS k
+  FROM (SELECT count(*) AS g, coalesce(sum(n), 0) AS nn, sum(n * pow(bad / n - pm, 2) / (pm * (1 - pm))) AS q FROM s1 WHERE n > 0)
+), s2 AS (SELECT suffix, m, m * (1 - m) / (n + k + 1) + pow(k / (n + k), 2) * pv AS v FROM (SELECT *, (bad + k * pm) / (n + k) AS m FROM s1, ks)
+), d1 AS (SELECT d.*, s2.m AS pm, s2.v AS pv FROM d JOIN s2 USING (suffix)
+), kd AS (SELECT CASE WHEN g = 0 OR nn = g THEN 10.0 WHEN q <= g THEN 10000.0 ELSE least(10000.0, greatest(1.0, (nn - g) / (q - g) - 1)) END AS k
+  FROM (SELECT count(*) AS g, coalesce(sum(n), 0) AS nn, sum(n * pow(bad / n - pm, 2) / (pm * (1 - pm))) AS q FROM d1 WHERE n > 0)
+), d2 AS (SELECT suffix, domain, m, m * (1 - m) / (n + k + 1) + pow(k / (n + k), 2) * pv AS v FROM (SELECT *, (bad + k * pm) / (n + k) AS m FROM d1, kd)
+), h1x AS (SELECT h.*, d2.m AS pm, d2.v AS pv FROM h JOIN d2 USING (suffix, domain)
+), kh AS (SELECT CASE WHEN g = 0 OR nn = g THEN 10.0 WHEN q <= g THEN 10000.0 ELSE least(10000.0, greatest(1.0, (nn - g) / (q - g) - 1)) END AS k
+  FROM (SELECT count(*) AS g, coalesce(sum(n), 0) AS nn, sum(n * pow(bad / n - pm, 2) / (pm * (1 - pm))) AS q FROM h1x WHERE n > 0)
+), b AS (
+  SELECT host FROM (SELECT host, m, m * (1 - m) / (n + k + 1) + pow(k / (n + k), 2) * pv AS v FROM (SELECT *, (bad + k * pm) / (n + k) AS m FROM h1x, kh))
+  WHERE m - 1.645 * sqrt(v) > 0.5
 ), v AS (
   SELECT page_id, u.host, path, b.host IS NOT NULL AS blocked, CASE
     WHEN (u.host = 'www.example.com' OR suffix(u.host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'

@@ -126,9 +126,11 @@ def test_rules(spark):
 
 
 def test_reputation_shrinks_and_blocks(spark):
-    counts = [("bad.a.org", 40, 38), ("few.a.org", 1, 1), ("b.org", 200, 10), ("c.com", 300, 12), ("none.com", 0, 0), ("x.co.uk", 50, 5), ("", 3, 0)]
+    counts = [("bad.a.org", 40, 38), ("few.a.org", 1, 1), ("b.org", 200, 10), ("c.com", 300, 12), ("none.com", 0, 0), ("x.co.uk", 50, 5), ("", 3, 0), ("new.b.org", 1, 1), ("one.d.com", 1, 1)]
     got = {r.host: r for r in posteriors(spark.createDataFrame(counts, "host string, n long, bad long")).collect()}
-    assert got["bad.a.org"].bound > 0.5 and got["few.a.org"].bound < 0.5 and 0 < got["none.com"].posterior_mean < 0.2
+    assert got["bad.a.org"].bound > 0.5 and 0 < got["none.com"].posterior_mean < 0.2
+    # A host with one bad page follows its domain: 39 of 41 pages of a.org are bad, 11 of 201 of b.org, and d.com has no other.
+    assert got["few.a.org"].bound > 0.5 and got["new.b.org"].bound < 0.5 and got["one.d.com"].bound < 0.5
     assert all(0 <= r.posterior_mean <= 1 and r.bound <= r.posterior_mean for r in got.values())
     pages = spark.createDataFrame([(i, f"http://bad.a.org/{i}") for i in range(40)] + [(100 + i, f"http://c.com/{i}") for i in range(300)] + [(999, "http://bad.a.org/new")], "page_id long, url string")
     marks = spark.createDataFrame([(i, i > 1) for i in range(40)] + [(100 + i, i < 12) for i in range(300)] + [(5, False), (None, True)], "page_id long, bad boolean")
@@ -136,6 +138,13 @@ def test_reputation_shrinks_and_blocks(spark):
     assert verdicts[999] == "block" and verdicts[5] == "block" and verdicts[150] == "allow"
 
 
+def test_one_label_blocks_no_host(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None), (2, None), (3, "http://b.net/")], "page_id long, url string")
+    marks = spark.createDataFrame([(1, True)], "page_id long, bad boolean")
+    assert {r.verdict for r in judge_urls(pages, marks).collect()} == {"allow"}
+    assert judge_urls(pages.limit(0), marks).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, name):
     sf = "/root/testdata/sf0.001"
