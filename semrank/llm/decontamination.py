@@ -6,7 +6,7 @@ window hashes are built by doubling over its array of word hashes, in the row, s
 verified by the words themselves. Words inside a verified occurrence are hit.
 
 The benchmark's windows are a set of fixed size that doesn't grow with the corpus; that is checked: beyond `max_windows`
-distinct windows the hash set becomes an equi-join on the hash instead, whose matches go back to their documents.
+rows (an item's window each) the hash set becomes an equi-join on the hash instead, whose matches go back to their documents.
 
 Defined results: null, empty and wordless texts have no words and no hits; so do items without words. Rows that repeat a
 doc_id with the same text count as one document. Other columns are ignored.
@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semrank.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,24 +83,22 @@ def _positions(n: int, wanted: list[int]) -> Column:
 
 def hits(docs: DataFrame, items: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """(doc_id, key, n_words, n, i, item_id): verified occurrences of items' windows, at least one row per document."""
-    bench = benchmark_windows(items, p)
+    bench = stored(benchmark_windows(items, p), "windows")
     found = bench.select("n", "h").distinct()
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(words(F.col("text")), F.array()).alias("words"))
     sizes = [r.n for r in found.select("n").distinct().collect()]  # at most `window` sizes
     if not sizes:
         return rows.select("doc_id", "key", F.size("words").alias("n_words"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("i"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
     rows = with_windows(rows, sizes)
-    small = found.count() <= p.max_windows
+    small = bench.count() <= p.max_windows  # rows of bench: an item's window each, also where items share windows
     if small:
         sets = {n: [] for n in sizes}
         for r in found.collect():
             sets[r.n].append(r.h)
         marked = _windows_at(rows, {n: _positions(n, sets[n]) for n in sizes})
     else:
-        every = None
-        for n in sizes:
-            one = rows.select("doc_id", "key", F.lit(n).alias("n"), F.posexplode(f"h{n}").alias("i", "h"))
-            every = one if every is None else every.unionByName(one)
+        each_window = lambda n: F.transform(f"h{n}", lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("i"), h.alias("h")))
+        every = rows.select("doc_id", "key", F.explode(F.concat(*[each_window(n) for n in sizes])).alias("x")).select("doc_id", "key", "x.*")
         matched = every.join(found, ["n", "h"]).groupBy("doc_id", "key").agg(*[F.collect_set(F.when(F.col("n") == n, F.col("i"))).alias(f"at{n}") for n in sizes])
         back = matched.withColumnRenamed("doc_id", "same_id").withColumnRenamed("key", "same_key")
         none = F.array().cast("array<int>")
