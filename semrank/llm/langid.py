@@ -6,8 +6,8 @@ character n-grams of the whole lower-cased text with everything but letters as o
 language is fitted (targets +1 and -1); the highest output wins. Scoring is one matrix product of a block's presence matrix
 with the landmarks' and one with the coefficients.
 
-Learned from at most about `per_language` documents of each language, chosen by a hash of doc_id; only their kernel rows and
-the landmarks' buckets come to the driver.
+Learned from at most about `per_language` documents of each of at most `max_languages` languages, chosen by a hash of doc_id and
+text; rows that are repeated count once. Only their kernel rows and the landmarks' buckets come to the driver.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, or if nothing was learned. The score is the
 winner's output mapped from -1..1 to 0..1. Rows that repeat a doc_id get the same answer; other columns are ignored.
@@ -29,12 +29,22 @@ from semrank.llm.hashing import keys, mix
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def letters(text: str | None) -> str:
+    """The lower-cased text with each run of other characters than letters (str.isalpha) as one space; stripped."""
+    clean = _OTHER.sub(" ", text.lower()).strip(" ") if text else ""
+    if clean and not clean.replace(" ", "").isalpha():  # numerics that \w holds and \d doesn't
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
+    return clean
+
+
 @dataclass(frozen=True)
 class LangId:
     orders: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 14
     landmarks: int = 16
     per_language: int = 1000
+    #: The most frequent languages that are learned.
+    max_languages: int = 1000
     ridge: float = 1e-2
     rows: int = 256
     #: Characters of one step over a text.
@@ -64,7 +74,7 @@ def presence(texts: list, p: LangId) -> np.ndarray:
     """A row of 0 and 1 for each text; all 0 for null and for texts without a letter."""
     out = np.zeros((len(texts), p.buckets), dtype=np.float32)
     for i, t in enumerate(texts):
-        clean = _OTHER.sub(" ", t.lower()).strip(" ") if t else ""
+        clean = letters(t)
         if clean:
             _mark(out[i], f" {clean} ", p)
     return out
@@ -93,15 +103,14 @@ class Model:
 def train(docs: DataFrame, p: LangId = LangId()) -> Model:
     """docs (doc_id, text, lang); rows without lang are not used."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    known = known.withColumn("spread", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_languages).collect()}
     if not counts:
         return Model([], [], np.zeros((0, 0)), np.zeros(0))
     langs = sorted(counts)
-    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-
     def chosen(n):
         share = F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, 1.1 * n / counts[lang])))]), F.col("lang"))
-        return known.where(spread < share)
+        return known.where(F.col("spread") < share).dropDuplicates(["doc_id", "spread", "lang"])  # repeated rows count once
 
     def mark(b):
         rows = presence(b.column("text").to_pylist(), p)
