@@ -6,8 +6,8 @@ counts in both classes, with `smooth` pseudo-documents dealt out by class share,
 ratio is under `least_ratio` are dropped; a logistic regression with an L2 penalty is fitted over the rest, each value times
 its ratio. A word's score is then a constant, so scoring is a sum over distinct words with a bounded cache of words.
 
-Labels: at most `max_labelled` labelled documents, the first by a hash of doc_id, are broadcast as (doc_id, label); texts stay
-on the executors. The driver gets counts per bucket and the few kept features of these documents, both bounded.
+Labels: at most `max_labelled` labelled documents, the first by a hash of doc_id, are broadcast as (doc_id, label); their texts
+are written once, one row per doc_id (the least text of rows that repeat it), and stay on the executors. The driver gets counts per bucket and the few kept features of these documents, both bounded.
 
 Defined results: null, empty and wordless texts have the score of the intercept alone, which is under 0.5 unless most
 labelled documents are toxic; without labels of both classes all scores are the share of toxic labels, or 0. Documents with
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, map_arrow
+from semrank.llm.common import batch, forget, map_arrow, stored
 from semrank.llm.hashing import keys, mix
 
 
@@ -89,7 +89,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     """docs (doc_id, text), labels (doc_id, label 0 or 1)."""
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")  # known: at most max_labelled rows
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # known: at most max_labelled rows
+    rows = stored(joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
 
     def count(batches):
         df, n = np.zeros((2, p.buckets), dtype=np.int64), np.zeros(2, dtype=np.int64)
@@ -100,11 +101,12 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
         some = np.flatnonzero(df.sum(axis=0))
         yield batch(bucket=np.append(some, -1), n0=np.append(df[0, some], n[0]), n1=np.append(df[1, some], n[1]))
 
-    sums = rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    sums = rows.select("text", "label").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     bucket, n0, n1 = (np.array(sums.column(c)) for c in ("bucket", "n0", "n1"))
     size0, size1 = int(n0[bucket < 0].sum()), int(n1[bucket < 0].sum())
     weight = np.zeros(p.buckets)
     if not size0 or not size1:
+        forget(rows)
         share = min(max(size1 / max(size0 + size1, 1), 1e-9), 1 - 1e-9)
         return Model(weight, float(np.log(share / (1 - share))))
     share = size1 / (size0 + size1)
@@ -120,14 +122,15 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
             f = _features(text.as_py(), p)
             at = np.minimum(np.searchsorted(chosen.value, f), len(chosen.value) - 1)
             out.append(at[chosen.value[at] == f].tolist() if len(chosen.value) else [])
-        yield batch(label=b.column("label"), at=pa.array(out, pa.list_(pa.int32())))
+        yield batch(doc_id=b.column("doc_id"), label=b.column("label"), at=pa.array(out, pa.list_(pa.int32())))
 
-    data = map_arrow(rows, select, "label int, at array<int>").toArrow()
+    # A fixed order of rows makes the sums, and so the model, repeatable.
+    data = map_arrow(rows, select, "doc_id long, label int, at array<int>").toArrow().sort_by("doc_id")
+    forget(rows)
     y = np.array(data.column("label"), dtype=np.float64)
     lists = data.column("at").combine_chunks()
     sizes = np.array([len(x) for x in lists], dtype=np.int64) if len(y) else np.zeros(0, dtype=np.int64)
     row, col = np.repeat(np.arange(len(y)), sizes), np.array(lists.flatten(), dtype=np.int64)
-    # A fixed order of rows makes the sums, and so the model, repeatable.
     value, bias = _logistic(y, row, col, ratio, p)
     weight[kept] = value * ratio
     return Model(weight, bias)
