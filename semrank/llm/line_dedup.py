@@ -5,7 +5,8 @@ of a document are a window, compared by a 128-bit hash. Of the occurrences of a
 (doc_id, position) stays and all later ones are covered; a line goes if a covered window holds it, so overlapping windows
 merge.
 
-Skew: windows are aggregated to their first occurrence with map-side combine, and each occurrence joins one row.
+Skew: windows are aggregated to their first occurrence with map-side combine, and each occurrence joins one row; the
+occurrences of a very common window stay where they are and its row is broadcast (common.lookup).
 
 Defined results: a null text stays null and has no lines; texts of fewer than three lines keep all. Rows that repeat a doc_id
 (they must repeat its text) keep and lose the same lines; rows with a null doc_id keep all lines. Other columns are ignored.
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semrank.llm.common import lookup, stored
+
 WINDOW = 3
 
 
@@ -31,8 +34,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     window = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[line(i, k) for k in range(WINDOW)]).alias("k1"), F.xxhash64(*[line(i, k) for k in reversed(range(WINDOW))], F.lit(7)).alias("k2"))
     rows = _lines(docs).where((F.size("full") >= WINDOW) & F.col("doc_id").isNotNull())
     rows = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("full") - WINDOW), window)).alias("w")).select("doc_id", "w.*")
-    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last")).where("first < last")
-    return rows.join(first.select("k1", "k2", "first"), ["k1", "k2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
+    rows = stored(rows, "line_windows")
+    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first, "windows")
+    return lookup(rows, first, ["k1", "k2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
 
 
 def deduplicate_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
