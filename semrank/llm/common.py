@@ -82,7 +82,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable from each id of the edges.
 
     Alternates large-star and small-star steps on written edge tables until nothing changes; each step is two aggregations
-    with map-side combine and one join, so a hub with many neighbours is an aggregate, never a collected group.
+    with map-side combine and one join of 16-byte rows with one row per node. A hub's rows are streamed through that join,
+    never collected; where they make a partition skewed, adaptive execution splits it.
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
     now = stored(edges.select(lo.alias("v"), hi.alias("u")).where("v < u").distinct(), "edges")

@@ -9,17 +9,19 @@ idf(t) = 1 + log(df/n) / log(rare): 1 in every document, 2 in a share `rare` of
 df is exact for every shingle. Those of more than a share `rare` go to every task: there are at most
 mean-shingles-per-document / rare of these, so the table has a bound that doesn't depend on the corpus. A shingle in a share
 `rare` of all documents has that share in at least one block, so blocks name the candidates and a second pass counts these.
-All others are dealt by hash to tasks that count them, and go back to their documents with their counts.
+All others are dealt by hash to tasks that count them, and go back to their documents with their counts: six bytes a shingle
+and two for the document's number in its chunk of rows; a chunk's name follows from its rows, so a task run again deals alike.
 
 Skew: texts with equal word sequences are one node of the search, whatever their number. A bucket of a band compares its
 members with one leader, not with each other; only members that are not in the leader's class afterwards are compared
 further. For these, `check_samples` one-byte samples of the whole bags estimate the similarity, and a pair is verified unless the estimate is
 `check_sigmas` standard errors below the threshold (a chance of about one in a million for a true link). Only documents with
 such a partner get their bags joined, and pairs whose components have been linked meanwhile are passed over. No bucket is
-cut: a large one is dealt out in pairs of segments.
+cut: a large one is dealt out in pairs of segments. The members of a leader meet it in parts of `star`, and copies of one text
+and members of one bucket stay in place while its row is broadcast (common.lookup).
 
 Defined results: null, empty and wordless texts have no shingle, link with nothing and are kept. Rows that repeat a doc_id
-count as one document with the smallest of their fingerprints. Other columns are ignored.
+count as one document with the least of their texts; rows without doc_id link with nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, components, forget, map_arrow, stored
+from semrank.llm.common import batch, components, forget, lookup, map_arrow, stored
 from semrank.llm.hashing import FOLDED, fingerprints, inside, keys, mix, ngrams, word_slices
 
 _U = np.uint64
@@ -57,8 +59,9 @@ class NearDup:
     max_common: int = 1 << 21
     check_samples: int = 1024
     check_sigmas: float = 4.75
-    #: Documents in a segment of a bucket.
+    #: Documents in a segment of a bucket, and members of a leader that meet it in one task.
     segment: int = 512
+    star: int = 1024
 
     @property
     def samples(self) -> int:
@@ -83,6 +86,17 @@ def shingles(words: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, n
     return (joint >> _U(48)).astype(np.int64), joint & _U((1 << 48) - 1), tf
 
 
+def _narrow(grams: np.ndarray) -> np.ndarray:
+    """48-bit shingles as rows of six bytes."""
+    return np.ascontiguousarray(grams, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def idf(row: np.ndarray, found: np.ndarray, b: pa.RecordBatch, lo: int, hi: int, common, p: NearDup) -> np.ndarray:
     """idf of each shingle of rows lo to hi of b, from the common shingles and the rows' own tables of repeated ones; a shingle
     that is in neither is in this document only.
@@ -95,7 +109,7 @@ def idf(row: np.ndarray, found: np.ndarray, b: pa.RecordBatch, lo: int, hi: int,
         df[hit] = common_df[at[hit]]
     tables = [(i, x.as_py(), y.as_py()) for i, (x, y) in enumerate(zip(b.column("grams").slice(lo, hi - lo), b.column("dfs").slice(lo, hi - lo), strict=True)) if x.is_valid]
     if tables:
-        known = np.concatenate([np.frombuffer(x, _U) | _U(i << 48) for i, x, _ in tables])
+        known = np.concatenate([_wide(x) | _U(i << 48) for i, x, _ in tables])
         counts = np.concatenate([np.frombuffer(y, np.uint32) for _, _, y in tables])
         joint = (row.astype(_U) << _U(48)) | found
         at = np.searchsorted(joint, known)
@@ -265,71 +279,95 @@ def common_shingles(docs: DataFrame, n_docs: int, p: NearDup) -> tuple[np.ndarra
     return grams[order], df[order]
 
 
-def _dealt(key: np.ndarray, parts: int, **columns) -> Iterator[pa.RecordBatch]:
-    """(part, columns): the values of each part of the keys as bytes."""
-    part = (mix(key) % _U(parts)).astype(np.int32)
+def _dealt(part: np.ndarray, **columns) -> Iterator[tuple[np.ndarray, dict[str, pa.Array]]]:
+    """The parts, in order, and the rows of each column that belong to each of them as bytes."""
     order = np.argsort(part, kind="stable")
     found, first = np.unique(part[order], return_index=True)
     cuts = np.append(first, len(order))
-    columns = {k: x[order] for k, x in columns.items()}
-    blobs = {k: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k, x in columns.items()}
-    yield batch(part=found, **blobs)
-
-
-def _gathered(batches, **kinds) -> list[np.ndarray]:
-    """The values of all rows of _dealt()."""
-    rows = {k: [] for k in kinds}
-    for b in batches:
-        for k in kinds:
-            rows[k] += [np.frombuffer(x, kinds[k]) for x in b.column(k).to_pylist()]
-    return [np.concatenate(rows[k]) if rows[k] else np.zeros(0, kinds[k]) for k in kinds]
+    blobs = {}
+    for k, x in columns.items():
+        x = x[order]
+        blobs[k] = pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    return found, blobs
 
 
 def repeated_shingles(docs: DataFrame, common, p: NearDup) -> DataFrame:
-    """(k, grams, dfs): of each document, the shingles that others have too and that aren't common, sorted (8 bytes each), and
+    """(k, grams, dfs): of each document, the shingles that others have too and that aren't common, sorted (6 bytes each), and
     the number of documents of each (4). Every shingle is counted.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, size // p.part_bytes + 1)
+    null = lambda n: pa.nulls(n, pa.binary())
 
-    def send(b):
-        k = np.array(b.column("k")).astype(_U)
-        for lo, hi, words, offs in word_slices(b.column("text"), FOLDED):
-            row, grams, _ = shingles(words, offs, p.shingle)
-            known = common.value[0]
-            if len(known) and len(grams):
-                keep = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] != grams
-                row, grams = row[keep], grams[keep]
-            if len(grams):
-                yield from _dealt(grams, parts, ks=k[lo:hi][row], grams=grams)
+    def send(batches):
+        """A chunk: rows in a row of one batch, of about `block` shingles; its documents' names, and its shingles by part."""
+        for b in batches:
+            k = np.array(b.column("k")).astype(_U)
+            start, held, n = 0, [], 0
+            for lo, hi, words, offs in word_slices(b.column("text"), FOLDED):
+                row, grams, _ = shingles(words, offs, p.shingle)
+                known = common.value[0]
+                if len(known) and len(grams):
+                    keep = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] != grams
+                    row, grams = row[keep], grams[keep]
+                held.append((row + (lo - start), grams))
+                n += len(grams)
+                if n >= p.block or hi == len(k) or hi - start > 1 << 15:
+                    if n:
+                        names = k[start:hi]
+                        chunk = np.int64(mix(np.array([mix(names + np.arange(len(names), dtype=_U)).sum(dtype=_U)]))[0].view(np.int64))
+                        grams = np.concatenate([g for _, g in held])
+                        found, blobs = _dealt((mix(grams) % _U(parts)).astype(np.int32), at=np.concatenate([r for r, _ in held]).astype("<u2"), grams=_narrow(grams))
+                        yield batch(part=np.array([chunk % parts], dtype=np.int32), chunk=np.array([chunk]), at=null(1), grams=null(1), dfs=null(1), names=pa.array([names.tobytes()], pa.binary()))
+                        yield batch(part=found, chunk=np.full(len(found), chunk), at=blobs["at"], grams=blobs["grams"], dfs=null(len(found)), names=null(len(found)))
+                    start, held, n = hi, [], 0
 
     def count(batches):
-        ks, grams = _gathered(batches, ks=_U, grams=_U)
+        chunks, at, grams = [], [], []
+        for b in batches:
+            named = np.array(b.column("names").is_valid())
+            if named.any():
+                yield b.filter(pa.array(named))
+            for c, x, g in zip(*(b.filter(pa.array(~named)).column(n).to_pylist() for n in ("chunk", "at", "grams")), strict=True):
+                chunks.append((c, len(g) // 6))
+                at.append(np.frombuffer(x, "<u2"))
+                grams.append(_wide(g))
+        if not grams:
+            return
+        chunk, which = np.unique(np.repeat(*np.array(chunks).T), return_inverse=True)
+        at, grams = np.concatenate(at), np.concatenate(grams)
         order = np.argsort(grams)
-        ks, grams = ks[order], grams[order]
-        new = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
-        n = np.diff(np.append(new, len(grams)))
-        df = np.repeat(n, n).astype(np.uint32)
-        some = df > 1
-        if some.any():
-            yield from _dealt(ks[some], parts, ks=ks[some], grams=grams[some], dfs=df[some])
+        ordered = grams[order]
+        new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        n = np.diff(np.append(new, len(ordered)))
+        df = np.empty(len(grams), dtype="<u4")
+        df[order] = np.repeat(n, n)
+        some = np.flatnonzero(df > 1)
+        if len(some):
+            found, blobs = _dealt(which[some], at=at[some], grams=_narrow(grams[some]), dfs=df[some])
+            yield batch(part=(chunk[found] % parts).astype(np.int32), chunk=chunk[found], at=blobs["at"], grams=blobs["grams"], dfs=blobs["dfs"], names=null(len(found)))
 
     def regroup(batches):
-        ks, grams, df = _gathered(batches, ks=_U, grams=_U, dfs=np.uint32)
-        if len(ks):
-            order = np.lexsort((grams, ks))
-            ks, grams, df = ks[order], grams[order], df[order]
-            new = np.concatenate(([True], (ks[1:] != ks[:-1]) | (grams[1:] != grams[:-1])))  # rows that are equal throughout
-            ks, grams, df = ks[new], grams[new], df[new]
-            first = np.flatnonzero(np.concatenate(([True], ks[1:] != ks[:-1])))
-            cuts = list(zip(first, np.append(first[1:], len(ks)), strict=True))
-            for at in range(0, len(cuts), 4096):
-                some = cuts[at : at + 4096]
-                yield batch(k=ks[first[at : at + 4096]].astype(np.int64), grams=pa.array([grams[i:j].tobytes() for i, j in some], pa.binary()), dfs=pa.array([df[i:j].tobytes() for i, j in some], pa.binary()))
-
-    sent = map_arrow(docs.select("k", "text"), send, "part int, ks binary, grams binary").repartition(parts, "part")
-    counted = sent.mapInArrow(count, "part int, ks binary, grams binary, dfs binary").repartition(parts, "part")
-    return counted.mapInArrow(regroup, "k long, grams binary, dfs binary")
+        """All rows of a part, chunk by chunk."""
+        held: dict[int, dict] = {}
+        for b in batches:
+            for c, *values in zip(*(b.column(n).to_pylist() for n in ("chunk", "at", "grams", "dfs", "names")), strict=True):
+                one = held.setdefault(c, {"at": [], "grams": [], "dfs": [], "names": b""})
+                for name, x in zip(("at", "grams", "dfs"), values, strict=False):
+                    if x is not None:
+                        one[name].append(x)
+                one["names"] = values[3] or one["names"]
+        for c in list(held):
+            one = held.pop(c)
+            at, grams, df = np.frombuffer(b"".join(one["at"]), "<u2"), _wide(b"".join(one["grams"])), np.frombuffer(b"".join(one["dfs"]), "<u4")
+            if len(at):
+                order = np.argsort((at.astype(_U) << _U(48)) | grams)
+                found, blobs = _dealt(at[order], grams=_narrow(grams[order]), dfs=df[order])
+                yield batch(k=np.frombuffer(one["names"], np.int64)[found], grams=blobs["grams"], dfs=blobs["dfs"])
+
+    kind = "part int, chunk long, at binary, grams binary, dfs binary, names binary"
+    sent = docs.select("k", "text").mapInArrow(send, kind).repartition(parts, "part")
+    return sent.mapInArrow(count, kind).repartition(parts, "part").mapInArrow(regroup, "k long, grams binary, dfs binary")
 
 
 def _weights(b, common, p: NearDup) -> Iterator[tuple]:
@@ -385,16 +423,18 @@ def weighted_jaccard(one: bytes, two: bytes) -> float:
 
 
 def _verify(pairs: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
-    """Of the distinct (a, b), the rows whose whole bags are similar enough, with the similarity."""
+    """Of the distinct (a, b) of a written table, the rows whose whole bags are similar enough, with the similarity."""
+    each = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.expr(f"int(ceil(n / {p.star}))")), "leaders")
+    dealt = lookup(pairs, each, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("s"))
     right = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
-    left = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
+    left = each.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").select("a", "bag_a", F.explode(F.expr("sequence(0, parts - 1)")).alias("s"))
 
     def check(x):
         sim = np.array([weighted_jaccard(u.as_py(), v.as_py()) for u, v in zip(x.column("bag_a"), x.column("bag_b"), strict=True)])
         good = np.flatnonzero(sim >= p.threshold)
         yield batch(a=x.column("a").take(pa.array(good)), b=x.column("b").take(pa.array(good)), similarity=sim[good])
 
-    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b"), check, "a long, b long, similarity double")
+    return map_arrow(dealt.join(right, "b").join(left, ["a", "s"]).select("a", "b", "bag_a", "bag_b"), check, "a long, b long, similarity double")
 
 
 def _cells(members: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
@@ -402,7 +442,8 @@ def _cells(members: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
     in cells: segment s of a bucket meets each segment t in cell (s, t), s <= t.
     """
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = members.join(sizes.select("band", "key", F.expr(f"int(ceil(n / {p.segment}))").alias("parts")), ["band", "key"])
+    sizes = stored(sizes.select("band", "key", "n", F.expr(f"int(ceil(n / {p.segment}))").alias("parts")), "sizes")
+    rows = lookup(members, sizes, ["band", "key"])
     rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("t", F.explode(F.expr("sequence(0, parts - 1)")))
     rows = rows.select("band", "key", "doc_id", "component", "s", F.least("s", "t").alias("s0"), F.greatest("s", "t").alias("t0"))
     cell = ("band", "key", "s0", "t0")
@@ -473,34 +514,45 @@ def _missed_links(members: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
     return _cells(some, bags.select("doc_id", "sig", "keys", "bag"), p).mapInArrow(lambda x: _each_cell(x, verify), "a long, b long")
 
 
+def _one_each(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k), one row per doc_id that isn't null; texts move only where a doc_id repeats."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        docs = stored(docs.join(repeated, "doc_id", "left_anti").unionByName(least), "documents")
+    return docs.withColumn("k", F.col("doc_id"))
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id of its class), kept (doc_id = component_id)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+    spark, every = docs.sparkSession, docs.select("doc_id").distinct()
+    docs = _one_each(docs)
     n_docs = docs.where(F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")).count()
     common = spark.sparkContext.broadcast((*common_shingles(docs, n_docs, p), n_docs))
     counts = stored(repeated_shingles(docs, common, p), "counts")
     counted = docs.join(counts.hint("shuffle_hash"), "k", "left")
     signed = stored(_signatures(counted, common, p), "signatures")
-    copies = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(copies, ["f1", "f2"])
-    keys_ = reps.where("doc_id = rep").select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = keys_.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
-    buckets = stored(keys_.join(shared.select("band", "key", "leader"), ["band", "key"]), "buckets")
+    copies = stored(signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "copies")
+    reps = signed.join(copies.select(F.col("rep").alias("doc_id")), "doc_id")
+    keys_ = stored(reps.select("doc_id", F.posexplode("bands").alias("band", "key")), "keys")
+    shared = keys_.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    buckets = stored(lookup(keys_, stored(shared, "shared"), ["band", "key"]), "buckets")
+    forget(keys_)
     # The hint keeps one plan at every size: texts are shuffled, never sorted, and the ids are the hashed side.
     wanted = docs.join(buckets.select("doc_id").distinct().hint("shuffle_hash"), "doc_id")
     bags = stored(_bags(wanted.join(counts.hint("shuffle_hash"), "k", "left"), common, p), "bags")
     forget(counts)
-    stars = buckets.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = stored(buckets.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     links = stored(_verify(stars, bags, p).select("a", "b"), "links")
     found = stored(components(links), "classes")
-    members = buckets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    members = stored(buckets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
     more = stored(_missed_links(members, bags, p), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    of_rep = reps.select("doc_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    forget(bags)
-    forget(buckets)
-    out = docs.select("doc_id").distinct().join(of_rep, "doc_id", "left")
-    out = out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_rep = lookup(signed.select("doc_id", "f1", "f2"), copies, ["f1", "f2"]).select("doc_id", "rep")
+    of_doc = of_rep.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    for done in (bags, buckets, stars, members):
+        forget(done)
+    out = every.join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -83,6 +83,22 @@ def test_empty_table_repeated_rows_and_other_columns(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (None, None, True)} and len(got) == 3
 
 
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    """The least text counts: 1 is "a ...", so 2 and 3 have no partner through it."""
+    rows = [(1, "a b c d e f"), (1, "n o p q r s"), (2, "n o p q r s"), (3, "t u v w x y"), (4, "a b c d e f"), (None, "a b c d e f")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 1, False), (None, None, True)}
+
+
+def test_a_third_of_the_rows_are_copies_and_near_copies(spark):
+    rng = random.Random(9)
+    hot = text(rng, 120)
+    rows = [(i, text(rng, 40)) for i in range(120)] + [(200 + i, hot) for i in range(40)] + [(300 + i, edited(rng, hot, 0.01)) for i in range(40)]
+    p = NearDup(star=4, segment=8)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), p).collect()}
+    assert got == brute(rows, p)
+
+
 def test_lines_repeated_hundreds_of_times(spark):
     """Most of the weight is in ten shingles, beside different own text: linked by the whole bag, or by none of it."""
     rng = random.Random(7)
