@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from semrank.plans.base import query
+from semrank.sources.scratch import folder
 from semrank.streaming import ingest
 
 
-def _scratch(spark) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one where that is unset, on a local master only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="semrank-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _written(spark, stream, mode: str = "append"):
-    at = _scratch(spark)
+    at = folder(spark, "stream")
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
