@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from semrank.plans import base, evaluate, ingest, items, rank, reader, store, streams, text  # noqa: F401
+from semrank.plans import adapters, base, evaluate, ingest, items, judging, rank, reader, store, streams, text  # noqa: F401
 
 
 def queries():

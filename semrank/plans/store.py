@@ -38,8 +38,15 @@ UPSERT_SQL = f"""{W}, o AS (SELECT id, source_id, guid, url, title, snippet, con
 ), done AS (SELECT * FROM old UNION ALL SELECT * FROM fresh)"""
 
 
+NOW = "timestamp_ntz'2024-02-05'"
+
+
 def _upserted(spark, sf):
-    return store.upsert(stored_items(spark, sf), fetched_entries(spark, sf), F.expr("timestamp_ntz'2024-02-05'"))
+    return store.upsert(stored_items(spark, sf), fetched_entries(spark, sf), F.expr(NOW))
+
+
+def shown(items):
+    return items.select("id", "title", stamp("published"), stamp("seen"))
 
 
 @query("upsert_changes", f"{UPSERT_SQL} SELECT id, action FROM done WHERE action <> 'kept'")
@@ -49,7 +56,7 @@ def upsert_changes(spark, sf):
 
 @query("upsert_result", f"{UPSERT_SQL} SELECT id, title, strftime(published, {TS}) AS published, '2024-02-05 00:00:00' AS seen FROM done")
 def upsert_result(spark, sf):
-    return _upserted(spark, sf).select("id", "title", stamp("published"), stamp("seen"))
+    return shown(_upserted(spark, sf))
 
 
 @query("article_invalidation", f"{W} SELECT id, CASE WHEN id % 6 = 0 THEN 'extract again' WHEN id % 6 = 1 THEN 'retitle' ELSE 'keep' END AS article FROM item WHERE id % 2 = 0 OR id % 6 = 1")
@@ -78,9 +85,9 @@ def read_state_fold(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("item_id")).agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("opened"), (F.coalesce(last, F.lit("")) != "error").alias("read")).select("item_id", stamp("opened"), "read")
 
 
-@query("mark_all_read_changed", f"{W} SELECT id FROM live WHERE NOT read AND source_id IN (1, 4, 6)")
+@query("mark_all_read_changed", f"{W} SELECT id FROM live WHERE NOT read AND source_id IN (0, 3, 5)")
 def mark_all_read_changed(spark, sf):
-    scope = spark.createDataFrame([(1,), (4,), (6,)], "source_id long")
+    scope = spark.createDataFrame([(0,), (3,), (5,)], "source_id long")
     gone = items(spark, sf).where("source_id = 3").select("source_id").distinct()
     return items(spark, sf).where("NOT read").join(scope, "source_id", "left_semi").join(gone, "source_id", "left_anti").select("id")
 
@@ -106,13 +113,13 @@ def move_position(spark, sf):
     return store.moved(store.renumbered(rows, [F.lit(0)], ["source_id"]), "source_id", 2, 3)
 
 
-_SEEN = "CASE WHEN id % 4 = 0 THEN TIMESTAMP '2024-01-20' WHEN source_id = 7 THEN TIMESTAMP '2023-01-01' ELSE TIMESTAMP '2024-02-01' END"
+_SEEN = "CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-20' WHEN source_id = 7 THEN TIMESTAMP '2023-01-01' ELSE TIMESTAMP '2024-02-01' END"
 
 
 @query("purge_old", f"""{W}, i AS (SELECT id, source_id, sort_date, {_SEEN} AS seen FROM item), m AS (SELECT source_id, max(seen) AS read_at FROM i GROUP BY source_id)
   SELECT id FROM i JOIN m USING (source_id) WHERE sort_date < TIMESTAMP '2024-01-20' AND epoch(read_at) - epoch(seen) > 86400""")
 def purge_old(spark, sf):
-    seen = "CASE WHEN id % 4 = 0 THEN timestamp_ntz'2024-01-20' WHEN source_id = 7 THEN timestamp_ntz'2023-01-01' ELSE timestamp_ntz'2024-02-01' END AS seen"
+    seen = "CASE WHEN id % 3 = 0 THEN timestamp_ntz'2024-01-20' WHEN source_id = 7 THEN timestamp_ntz'2023-01-01' ELSE timestamp_ntz'2024-02-01' END AS seen"
     rows = items(spark, sf).selectExpr("id", "source_id", "sort_date", seen).withColumn("seen", F.col("seen").cast("timestamp"))
     return store.purgeable(rows, F.expr("timestamp_ntz'2024-01-20'")).select("id")
 

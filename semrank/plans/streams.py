@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from semrank.plans import base
+from semrank.plans import store as stored
 from semrank.plans.base import query
 from semrank.sources.scratch import folder
+from semrank.sources.tables import PASSAGE_SQL, passages
 from semrank.streaming import ingest
 
 
@@ -32,3 +35,37 @@ def stream_dedupe(spark, sf):
 def daily_tumbling(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     return ingest.daily_totals(events, "ts", F.floor("value")).withColumn("total", F.col("total").cast("long"))
+
+
+@query("stream_daily_local", """WITH l AS (SELECT ts + INTERVAL 9 HOUR AS ts, value FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM l)
+  SELECT strftime(ts, '%Y-%m-%d') AS day, sum(floor(value)::BIGINT)::BIGINT AS total FROM l, m GROUP BY day HAVING day::TIMESTAMP + INTERVAL 1 DAY <= any_value(mark)""")
+def stream_daily_local(spark, sf):
+    """Totals of the days of Tokyo that the watermark has passed, as a stream gives them."""
+    totals = ingest.daily_totals(_events(spark, sf).select("ts", "value"), "ts", F.floor("value"), zone="Asia/Tokyo")
+    return _written(spark, totals.select("day", F.col("total").cast("long").alias("total")))
+
+
+@query("stream_upsert", base.ORACLES["upsert_result"])
+def stream_upsert(spark, sf):
+    """Fetched entries as a stream, folded into versions of the item table."""
+    at = folder(spark, "versions")
+    stored.stored_items(spark, sf).write.parquet(f"{at}/items/v=0")
+    stored.fetched_entries(spark, sf).coalesce(1).write.parquet(f"{at}/entries")
+    ingest.upserted(spark, ingest.read_stream(spark, f"{at}/entries"), f"{at}/items", f"{at}/state", F.expr(stored.NOW)).awaitTermination()
+    return stored.shown(spark.read.parquet(f"{at}/items/v=1"))
+
+
+@query("stream_saturation", f"""WITH {PASSAGE_SQL}, j AS (SELECT item_id, count(*) AS checked, count(*) FILTER (length(text) > 60) AS found FROM passage GROUP BY item_id)
+  SELECT item_id, checked, found, checked >= 8 AND found > 0.35::DOUBLE * checked AS saturated FROM j""")
+def stream_saturation(spark, sf):
+    """Saturation of articles whose judged passages come as a stream."""
+    at = folder(spark, "judged")
+    passages(spark, sf).select("item_id", (F.length("text") > 60).alias("found")).coalesce(1).write.parquet(f"{at}/in")
+    state = ingest.sticky_saturation(ingest.read_stream(spark, f"{at}/in"), 0.35, 8)
+
+    def fold(batch, n):
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+
+    state.writeStream.foreachBatch(fold).outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/out")
+    return rows.groupBy("item_id").agg(F.max_by(F.struct("checked", "found", "saturated"), "batch").alias("s")).select("item_id", "s.*")

@@ -64,15 +64,8 @@ def snippet_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
-@query("boilerplate_strip", "SELECT doc_id, substr(text, 1, 40) || '.' AS text FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN regexp_replace(substr(text, 1, 40), '\\s+$', '') ELSE substr(text, 1, 40) END FROM documents WHERE doc_id % 3 <> 0")
-def boilerplate_strip(spark, sf):
-    """Footers of publishing tools go from excerpts that end with one."""
-    head = F.substring("text", 1, 40)
-    excerpt = F.when(F.col("doc_id") % 3 == 0, F.concat(head, F.lit(". Read more about it"))).when(F.col("doc_id") % 3 == 1, F.concat(head, F.lit(" The post News appeared first on Site"))).otherwise(head)
-    return table(spark, sf, "documents").select("doc_id", text.without_boilerplate(excerpt).alias("text"))
-
-
-@query("boilerplate_strip_whole", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || '.' WHEN 1 THEN regexp_replace(text, '\\s+$', '') ELSE text END AS text FROM documents")
+@query("boilerplate_strip_whole", _WHOLE := "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || '.' WHEN 1 THEN regexp_replace(text, '\\s+$', '') ELSE text END AS text FROM documents")
+@query("boilerplate_strip", _WHOLE)
 def boilerplate_strip_whole(spark, sf):
     """Footers go from the ends of whole texts, whatever their length."""
     whole = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(". Read more about it"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" The post News appeared first on Site"))).otherwise(F.col("text"))

@@ -25,9 +25,9 @@ def deduplicated(events: DataFrame, key: str, ts: str, delay: str = "1 hour") ->
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def daily_totals(events: DataFrame, ts: str, value: Column, delay: str = "1 day") -> DataFrame:
-    """Sum per day; a day is final when the watermark has passed it."""
-    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
+def daily_totals(events: DataFrame, ts: str, value: Column, delay: str = "1 day", zone: str = "UTC") -> DataFrame:
+    """Sum per local day of the zone (ts in UTC); a day is final when the watermark has passed it."""
+    rows = events.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone))
     rows = rows.withWatermark(ts, delay) if events.isStreaming else rows
     return rows.groupBy(F.window(ts, "1 day").alias("w")).agg(F.sum(value).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "total")
 
