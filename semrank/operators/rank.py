@@ -6,10 +6,13 @@ Sentences are parameters of a query: at most PINS of them, so they are joined by
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semrank.constants import FIRST_WINDOW, LIST_UNSURE, OLDER_WINDOW, PINS, RANK_STEPS
+from semrank.constants import FIRST_WINDOW, LIST_UNSURE, LOAD_LIMIT, OLDER_WINDOW, PINS, RANK_STEPS
 from semrank.functions import sentence as S
 from semrank.functions.judge import FOUND, capped_for_list, list_band, overlap_judge
 from semrank.functions.text import overlap, terms
@@ -37,6 +40,23 @@ def window(items: DataFrame, older: int = 0) -> DataFrame:
     return items.orderBy(*by_date(items)).limit(FIRST_WINDOW + OLDER_WINDOW * older)
 
 
+def loaded(items: DataFrame, older: int = 0) -> DataFrame:
+    """What a pin's list loads: LOAD_LIMIT of the newest items or its window, and whether a row is in the window (judged)."""
+    rows = items.orderBy(*by_date(items)).limit(max(LOAD_LIMIT, FIRST_WINDOW + OLDER_WINDOW * older))
+    place = F.row_number().over(Window.orderBy(F.col("sort_date").desc(), F.col("id").desc()))  # at most the rows of the limit
+    return rows.withColumn("judged", place <= FIRST_WINDOW + OLDER_WINDOW * older)
+
+
+def matching(items: DataFrame, **wanted) -> DataFrame:
+    """Items that meet every condition given: source_id (one or several), read, since, until, words (all of them in the title)."""
+    date = F.col("sort_date")
+    tests = {
+        "source_id": lambda v: F.col("source_id").isin(list(v) if isinstance(v, list | tuple | set) else [v]), "read": lambda v: F.col("read") == v, "since": lambda v: date >= F.lit(v),
+        "until": lambda v: date < F.lit(v), "words": lambda v: reduce(and_, (F.contains(F.lower("title"), F.lit(w)) for w in v.lower().split()), F.lit(True)),
+    }
+    return items.where(reduce(and_, (tests[k](v) for k, v in wanted.items() if v is not None), F.lit(True)))
+
+
 def pairs(items: DataFrame, sentences: DataFrame) -> DataFrame:
     return items.join(F.broadcast(sentences))  # at most PINS rows
 

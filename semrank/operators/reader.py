@@ -59,10 +59,11 @@ def marks(passages: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def hits(marked: DataFrame) -> DataFrame:
-    """Found and unsure passages in reading order: hit number, and the next hit, the first one after the last."""
+    """Found and unsure passages in reading order: hit number, the next hit (the first one after the last) and the one before."""
     rows = marked.where(F.col("mark").isin("found", "unsure"))
-    first = F.min("idx").over(Window.partitionBy("item_id"))
-    return rows.withColumn("hit", F.row_number().over(in_order()).cast("long")).withColumn("next_idx", F.coalesce(F.lead("idx").over(in_order()), first))
+    first, last = (f("idx").over(Window.partitionBy("item_id")) for f in (F.min, F.max))
+    rows = rows.withColumn("hit", F.row_number().over(in_order()).cast("long"))
+    return rows.withColumns({"next_idx": F.coalesce(F.lead("idx").over(in_order()), first), "previous_idx": F.coalesce(F.lag("idx").over(in_order()), last)})
 
 
 def viewport_first(passages: DataFrame, first: Column, last: Column, chunk: int) -> DataFrame:

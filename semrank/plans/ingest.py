@@ -23,8 +23,9 @@ def extract_blocks(spark, sf):
 
 @query("extract_passages")
 def extract_passages(spark, sf):
-    """Passages of every page with their sections, empty sections and what is beyond the cap left out."""
-    return reader.sections(reader.capped(reader.without_empty_sections(html_blocks.extract(_titled(spark, sf)))))
+    """Passages of every page with their sections, without empty ones, what is beyond the cap, and sections that the cap emptied."""
+    whole = reader.without_empty_sections(html_blocks.extract(_titled(spark, sf)))
+    return reader.sections(reader.without_empty_sections(reader.capped(whole)))
 
 
 _RSS = """<rss version="2.0"><channel><title>T</title><item><title>A &amp; {n}</title><link>/p/{n}?utm_source=x</link><description>&lt;p&gt;Hello&amp;nbsp;{n}&lt;/p&gt;</description><pubDate>Tue, 05 Mar 2024 10:20:30 GMT</pubDate></item></channel></rss>"""

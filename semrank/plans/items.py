@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
-from semrank.operators import store
+from semrank.operators import rank, store
 from semrank.plans.base import query
-from semrank.sources.tables import ITEM_SQL, items, live_items, sources, stamp, table
+from semrank.sources.tables import ITEM_SQL, PASSAGE_SQL, items, live_items, passages, sentence_sql, sentences, sources, stamp, table
 
 W = f"WITH {ITEM_SQL}"
 
@@ -126,3 +128,21 @@ def new_since_viewed(spark, sf):
 @query("any_unread", f"{W} SELECT EXISTS (SELECT 1 FROM live WHERE NOT read) AS some")
 def any_unread(spark, sf):
     return live_items(spark, sf).where("NOT read").select(F.lit(True).alias("some")).limit(1).agg(F.coalesce(F.bool_or("some"), F.lit(False)).alias("some"))
+
+
+@query("filtered_list", f"{W} SELECT id FROM live WHERE source_id IN (1, 2, 5) AND NOT read AND sort_date >= TIMESTAMP '2024-01-03' AND sort_date < TIMESTAMP '2024-02-01' AND contains(lower(title), 'e') AND contains(lower(title), 'n')")
+def filtered_list(spark, sf):
+    """Any conjunction of conditions."""
+    wanted = {"source_id": (1, 2, 5), "read": False, "since": datetime.datetime(2024, 1, 3), "until": datetime.datetime(2024, 2, 1), "words": "E n"}
+    return rank.matching(live_items(spark, sf), **wanted).select("id")
+
+
+@query("keyed_lookups", f"""{W}, {PASSAGE_SQL}, {sentence_sql()} SELECT 'source' AS what, count(*) AS n, max(title) AS one FROM source WHERE source_id = 5 UNION ALL SELECT 'pin', count(*), max(sentence) FROM pin WHERE pin_id = 2
+  UNION ALL SELECT 'article', count(*), max(text) FROM passage WHERE item_id = 7 UNION ALL SELECT 'spend', count(*), sum(floor(value)::BIGINT)::BIGINT::VARCHAR FROM events WHERE strftime(ts, '%Y-%m-%d') = '2024-01-05'""")
+def keyed_lookups(spark, sf):
+    """One source, pin, article and day of spend by key."""
+    said = lambda df, what, one: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"), one.alias("one"))
+    out = said(sources(spark, sf).where("source_id = 5"), "source", F.max("title"))
+    out = out.unionByName(said(sentences(spark).where("pin_id = 2"), "pin", F.max("sentence"))).unionByName(said(passages(spark, sf).where("item_id = 7"), "article", F.max("text")))
+    day = table(spark, sf, "events").where("ts >= timestamp_ntz'2024-01-05' AND ts < timestamp_ntz'2024-01-06'")
+    return out.unionByName(said(day, "spend", F.sum(F.floor("value").cast("long")).cast("string")))

@@ -232,3 +232,14 @@ def merge_new_rows(spark, sf):
     rows = _shown(spark, sf)
     seen = rows.where("id % 2 = 0").select("id", F.lit(True).alias("seen"))
     return rows.join(seen, "id", "left").select("id", "position", F.col("seen").isNull().alias("inserted"))
+
+
+@query("pin_list_loaded", f"""{BASE_ALL}, placed AS (SELECT *, dense_rank() OVER (ORDER BY sort_date DESC, id DESC) AS place FROM judged), p2 AS (SELECT * FROM placed WHERE place <= 2000 AND (place <= 300 OR (id % 3 = 0 AND pin_id < 3))),
+  s2 AS (SELECT *, CASE WHEN pin_id = 4 THEN least(p, {LIST_CAP!r}::DOUBLE) ELSE p END AS q FROM p2) SELECT pin_id, id, row_number() OVER (PARTITION BY pin_id ORDER BY sort_date DESC, id DESC) AS position FROM s2 WHERE q >= 0.6""")
+def pin_list_loaded(spark, sf):
+    """Pins list what they found among the loaded items: the window is judged, older rows have their cached answers."""
+    rows = rank.loaded(live_items(spark, sf)).withColumn("text_hash", item_text_hash())
+    known = _cached(spark, sf, _all_pairs).where(F.col("model") == MODEL).select("text_hash", "frame_hash", F.col("p").alias("known")).dropDuplicates(["text_hash", "frame_hash"])
+    rows = rank.judge(rank.pairs(rows, rank.framed(spark, SENTENCES))).join(known, ["text_hash", "frame_hash"], "left")
+    listed = rank.pin_lists(rank.banded(rows.withColumn("p", F.when(F.col("judged"), F.col("p")).otherwise(F.col("known")))).withColumn("viewed", F.lit(None).cast("timestamp_ntz")))
+    return listed.select("pin_id", "id", "position")

@@ -90,3 +90,10 @@ def viewport_first(spark, sf):
 @query("chunk_ids", f"{_VIEW} SELECT item_id, (position - 1) // 8 AS chunk, count(*) AS n FROM v GROUP BY ALL")
 def chunk_ids(spark, sf):
     return reader.viewport_first(passages(spark, sf), F.lit(3), F.lit(9), 8).groupBy("item_id", "chunk").agg(F.count("*").alias("n"))
+
+
+@query("reader_hits_back", f"""{W} SELECT item_id, idx, coalesce(lag(idx) OVER w, max(idx) OVER (PARTITION BY item_id)) AS previous_idx
+  FROM marked WHERE mark IN ('found', 'unsure') WINDOW w AS (PARTITION BY item_id ORDER BY idx)""")
+def reader_hits_back(spark, sf):
+    """The hit before each, the last one before the first."""
+    return reader.hits(reader.marks(_judged(spark, sf), _articles(spark, sf))).select("item_id", "idx", "previous_idx")

@@ -183,14 +183,18 @@ class Reader:
 
 
 def raw_entries(feeds: DataFrame) -> DataFrame:
-    """feeds (source_id, url, body binary, charset): source_id, position, address, the fields of RAW, and whether three of them are HTML."""
+    """feeds (source_id, url, body binary, charset): source_id, position, address, the fields of RAW, and whether three of them are HTML.
+    A feed without a body has no entries.
+    """
     flags = ("title_html", "summary_html", "content_html")
 
     def run(frames):
         for pdf in frames:
             rows = []
             for source, url, body, charset in zip(pdf.source_id, pdf.url, pdf.body, pdf.charset, strict=True):
-                r = Reader(decoded(bytes(body), charset), url)
+                if body is None:
+                    continue
+                r = Reader(decoded(bytes(body), charset), url or "")
                 for i, e in enumerate(r.entries):
                     rows.append((source, i, r.address(e), *(e.get(k) for k in RAW), *(bool(e.get(k)) for k in flags)))
             yield pd.DataFrame(rows, columns=["source_id", "position", "address", *RAW, *flags])
