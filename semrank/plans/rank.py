@@ -234,7 +234,7 @@ def merge_new_rows(spark, sf):
     return rows.join(seen, "id", "left").select("id", "position", F.col("seen").isNull().alias("inserted"))
 
 
-@query("pin_list_loaded", f"""{BASE_ALL}, placed AS (SELECT *, dense_rank() OVER (ORDER BY sort_date DESC, id DESC) AS place FROM judged), p2 AS (SELECT * FROM placed WHERE place <= 2000 AND (place <= 300 OR (id % 3 = 0 AND pin_id < 3))),
+@query("pin_list_loaded", f"""{BASE_ALL}, placed AS (SELECT *, dense_rank() OVER (ORDER BY sort_date DESC, id DESC) AS place FROM judged), p2 AS (SELECT * FROM placed WHERE place <= 2000 AND (place <= 300 OR (pin_id < 3 AND text_hash IN (SELECT text_hash FROM judged WHERE id % 3 = 0)))),
   s2 AS (SELECT *, CASE WHEN pin_id = 4 THEN least(p, {LIST_CAP!r}::DOUBLE) ELSE p END AS q FROM p2) SELECT pin_id, id, row_number() OVER (PARTITION BY pin_id ORDER BY sort_date DESC, id DESC) AS position FROM s2 WHERE q >= 0.6""")
 def pin_list_loaded(spark, sf):
     """Pins list what they found among the loaded items: the window is judged, older rows have their cached answers."""
