@@ -53,8 +53,10 @@ class NearDup:
     seed: int = 17
     #: Shingles in a block of the first pass over document frequencies.
     block: int = 1 << 21
+    #: Shingles of a chunk of documents that are dealt out together.
+    chunk: int = 1 << 19
     #: Bytes of text whose shingles are counted together.
-    part_bytes: int = 1 << 23
+    part_bytes: int = 1 << 22
     #: Candidates for the table of common shingles beyond which their counts come from a shuffle of all shingles.
     max_common: int = 1 << 21
     check_samples: int = 1024
@@ -300,7 +302,7 @@ def repeated_shingles(docs: DataFrame, common, p: NearDup) -> DataFrame:
     null = lambda n: pa.nulls(n, pa.binary())
 
     def send(batches):
-        """A chunk: rows in a row of one batch, of about `block` shingles; its documents' names, and its shingles by part."""
+        """A chunk: rows in a row of one batch, of about `chunk` shingles; its documents' names, and its shingles by part."""
         for b in batches:
             k = np.array(b.column("k")).astype(_U)
             start, held, n = 0, [], 0
@@ -312,7 +314,7 @@ def repeated_shingles(docs: DataFrame, common, p: NearDup) -> DataFrame:
                     row, grams = row[keep], grams[keep]
                 held.append((row + (lo - start), grams))
                 n += len(grams)
-                if n >= p.block or hi == len(k) or hi - start > 1 << 15:
+                if n >= p.chunk or hi == len(k) or hi - start > 1 << 15:
                     if n:
                         names = k[start:hi]
                         chunk = np.int64(mix(np.array([mix(names + np.arange(len(names), dtype=_U)).sum(dtype=_U)]))[0].view(np.int64))
