@@ -30,7 +30,7 @@ class Encoder:
     it becomes the old one, and what is used again comes back.
     """
 
-    def __init__(self, path: str, max_cached: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, max_cached: int = 250_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
