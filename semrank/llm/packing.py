@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, map_arrow
+from semrank.llm.common import batch
 from semrank.llm.tokens import at_spaces, encoder, groups
 
 
@@ -136,7 +136,12 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
             which, start, length, total, crc, ids = zip(*rows, strict=True)
             yield batch(doc_id=b.column("doc_id").take(pa.array(which)), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), doc_tokens=pa.array(total, pa.int64()), crc=pa.array(crc, pa.int64()), ids=pa.array(ids, pa.binary()), row=pa.array(which, pa.int64()))
 
-    return map_arrow(docs, run, "doc_id long, start long, length long, doc_tokens long, crc long, ids binary, row long")
+    def task(batches):
+        for b in batches:
+            yield from run(b)
+        encoder(path).trim()
+
+    return docs.mapInArrow(task, "doc_id long, start long, length long, doc_tokens long, crc long, ids binary, row long")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits = Limits(), shard: int = 4096) -> DataFrame:

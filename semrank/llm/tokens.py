@@ -30,7 +30,7 @@ class Encoder:
     it becomes the old one, and what is used again comes back.
     """
 
-    def __init__(self, path: str, max_cached: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, max_cached: int = 400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,6 +79,10 @@ class Encoder:
             self.cache.update(zip(some, encode(some), strict=True))
         return [x for x in new if len(x) > self.longest]
 
+    def trim(self) -> None:
+        """At the end of a task: the old generation goes, so that an idle worker holds one at most."""
+        self.old = {}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of dtype."""
         if len(self.cache) > self.max_cached:
