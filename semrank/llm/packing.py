@@ -158,7 +158,6 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits =
         t = t.sort_by([("doc_id", "ascending"), ("start", "ascending")])
         start, length = np.array(t.column("start")), np.array(t.column("length"))
         crc, ids = t.column("crc"), t.column("ids")
-        kind = encoder(path).dtype
         tails = np.flatnonzero(length < size)
         rows = [(int(k), int(start[k]), size, crc[k].as_py(), s, 0) for s, k in enumerate(np.flatnonzero(length == size))]
         s = len(rows)
@@ -166,7 +165,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits =
             at = 0
             for k, first, n in row:
                 k = int(tails[k])
-                part = np.frombuffer(ids[k].as_py(), dtype=kind)[first : first + n]
+                raw = ids[k].as_py()
+                part = np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * length[k] else np.uint32)[first : first + n]
                 rows.append((k, int(start[k]) + first, n, zlib.crc32(part.astype("<u4").tobytes()), s, at))
                 at += n
             s += 1
