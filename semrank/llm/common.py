@@ -50,6 +50,19 @@ def forget(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def released(task: Callable) -> Callable:
+    """task, a function of mapInArrow, that ends with its worker's free memory given back: workers outlive their tasks, and the
+    allocators of Arrow and of C else keep what the largest task of any stage before needed.
+    """
+
+    def run(batches):
+        yield from task(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return run
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Each record batch of df through f."""
 
@@ -57,7 +70,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
         for batch in batches:
             yield from f(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def batch(**columns) -> pa.RecordBatch:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, components, forget, lookup, map_arrow, stored
+from semrank.llm.common import batch, components, forget, lookup, map_arrow, released, stored
 from semrank.llm.hashing import mix
 
 
@@ -268,7 +268,7 @@ def _links(cells: DataFrame, code: str, p: Projections) -> DataFrame:
         if held is not None and held.num_rows:
             yield from solve(held)
 
-    return cells.mapInArrow(run, "rep long, n long, root long")
+    return cells.mapInArrow(released(run), "rep long, n long, root long")
 
 
 def near_duplicates(table: DataFrame, p: Projections = Projections()) -> DataFrame:

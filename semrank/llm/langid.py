@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, map_arrow
+from semrank.llm.common import batch, map_arrow, released
 from semrank.llm.hashing import keys, mix
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -177,4 +177,4 @@ def predict(docs: DataFrame, model: Model, p: LangId = LangId()) -> DataFrame:
                         scores[i] = min(1.0, max(0.0, (out[i, best[i]] + 1) / 2))
                 yield batch(doc_id=b.column("doc_id").slice(at, len(part)), lang_pred=pa.array(names, pa.string()), score=scores)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double")

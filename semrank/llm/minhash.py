@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, components, forget, lookup, map_arrow, stored
+from semrank.llm.common import batch, components, forget, lookup, map_arrow, released, stored
 from semrank.llm.hashing import FOLDED, fingerprints, inside, keys, mix, ngrams, word_slices
 
 _U = np.uint64
@@ -249,7 +249,7 @@ def _doc_frequencies(docs: DataFrame, p: NearDup, keep: str) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "shingle long, df long")
+    return docs.select("text").mapInArrow(released(run), "shingle long, df long")
 
 
 def common_shingles(docs: DataFrame, n_docs: int, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
@@ -368,8 +368,8 @@ def repeated_shingles(docs: DataFrame, common, p: NearDup) -> DataFrame:
                 yield batch(k=np.frombuffer(one["names"], np.int64)[found], grams=blobs["grams"], dfs=blobs["dfs"])
 
     kind = "part int, chunk long, at binary, grams binary, dfs binary, names binary"
-    sent = docs.select("k", "text").mapInArrow(send, kind).repartition(parts, "part")
-    return sent.mapInArrow(count, kind).repartition(parts, "part").mapInArrow(regroup, "k long, grams binary, dfs binary")
+    sent = docs.select("k", "text").mapInArrow(released(send), kind).repartition(parts, "part")
+    return sent.mapInArrow(released(count), kind).repartition(parts, "part").mapInArrow(released(regroup), "k long, grams binary, dfs binary")
 
 
 def _weights(b, common, p: NearDup) -> Iterator[tuple]:
@@ -511,9 +511,9 @@ def _missed_links(members: DataFrame, bags: DataFrame, p: NearDup) -> DataFrame:
         if out:
             yield batch(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
 
-    light = _cells(members, bags.select("doc_id", "sig", "keys"), p).mapInArrow(lambda x: _each_cell(x, may), "doc_id long").distinct()
+    light = _cells(members, bags.select("doc_id", "sig", "keys"), p).mapInArrow(released(lambda x: _each_cell(x, may)), "doc_id long").distinct()
     some = members.join(light, "doc_id", "left_semi")
-    return _cells(some, bags.select("doc_id", "sig", "keys", "bag"), p).mapInArrow(lambda x: _each_cell(x, verify), "a long, b long")
+    return _cells(some, bags.select("doc_id", "sig", "keys", "bag"), p).mapInArrow(released(lambda x: _each_cell(x, verify)), "a long, b long")
 
 
 def _one_each(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch
+from semrank.llm.common import batch, released
 from semrank.llm.tokens import at_spaces, encoder, groups
 
 
@@ -141,7 +141,7 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
             yield from run(b)
         encoder(path).trim()
 
-    return docs.mapInArrow(task, "doc_id long, start long, length long, doc_tokens long, crc long, ids binary, row long")
+    return docs.mapInArrow(released(task), "doc_id long, start long, length long, doc_tokens long, crc long, ids binary, row long")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits = Limits(), shard: int = 4096) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, map_arrow, stored
+from semrank.llm.common import batch, map_arrow, released, stored
 from semrank.llm.hashing import SPACED, fingerprints, inside, ngrams, word_slices
 
 
@@ -159,7 +159,7 @@ def _meet(edges: DataFrame) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held).combine_chunks())
 
-    return edges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, pos int, n int, source_doc long, source_pos int")
+    return edges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(run), "doc_id long, pos int, n int, source_doc long, source_pos int")
 
 
 def _join(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, forget, map_arrow, stored
+from semrank.llm.common import batch, forget, map_arrow, released, stored
 from semrank.llm.hashing import keys, mix
 
 
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
         some = np.flatnonzero(df.sum(axis=0))
         yield batch(bucket=np.append(some, -1), n0=np.append(df[0, some], n[0]), n1=np.append(df[1, some], n[1]))
 
-    sums = rows.select("text", "label").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    sums = rows.select("text", "label").mapInArrow(released(count), "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     bucket, n0, n1 = (np.array(sums.column(c)) for c in ("bucket", "n0", "n1"))
     size0, size1 = int(n0[bucket < 0].sum()), int(n1[bucket < 0].sum())
     weight = np.zeros(p.buckets)
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:
         for b, scores in _scores(batches, shared.value, p):
             yield batch(doc_id=b.column("doc_id"), score=scores)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, p: Toxicity = Toxicity(), under: float = 0.5) -> DataFrame:
@@ -196,4 +196,4 @@ def keep(docs: DataFrame, model: Model, p: Toxicity = Toxicity(), under: float =
         for b, scores in _scores(batches, shared.value, p):
             yield b.filter(pa.array(scores < under))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
