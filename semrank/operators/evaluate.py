@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semrank.operators.ranks import numbered
+
 
 def share(part, whole) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 9)
@@ -27,16 +29,23 @@ def accuracy_by_certainty(rows: DataFrame, steps: int = 4) -> DataFrame:
 
 def spearman(rows: DataFrame, group: str, key: str) -> DataFrame:
     """rows (group, key, a, b): rank correlation of each group by 1 - 6 sum d^2 / n(n^2 - 1); ties rank by key."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(group).orderBy(c, key)).cast("long")
-    d = rows.withColumn("d", rank("a") - rank("b")).groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col("d") * F.col("d")).alias("dd"))
+    both = numbered(numbered(rows, ["a", key], [group], "_a"), ["b", key], [group], "_b")
+    d = both.withColumn("d", F.col("_a") - F.col("_b")).groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col("d") * F.col("d")).alias("dd"))
     return d.select(group, "n", F.round(1 - F.try_divide(6 * F.col("dd"), F.col("n") * (F.col("n") * F.col("n") - 1)), 9).alias("rho"))
 
 
 def topk_overlap(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
-    """How many of each group's k highest by a are among its k highest by b."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(group).orderBy(F.col(c).desc(), key))
-    both = rows.withColumn("ra", rank("a")).withColumn("rb", rank("b"))
-    return both.groupBy(group).agg(F.count_if((F.col("ra") <= k) & (F.col("rb") <= k)).alias("shared"))
+    """How many of each group's k highest by a are among its k highest by b; ties rank by key.
+
+    A rank that is compared with k is limited in each task before the shuffle: no task meets more than k rows a group and task.
+    """
+
+    def best(c):
+        by = Window.partitionBy(group).orderBy(F.col(c).desc(), key)
+        return rows.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= k)
+
+    marks = best("a").select(group, key, F.lit(1).alias("m")).unionByName(best("b").select(group, key, F.lit(2).alias("m")))
+    return marks.groupBy(group, key).agg(F.sum("m").alias("m")).groupBy(group).agg(F.count_if(F.col("m") == 3).alias("shared"))
 
 
 def drift(rows: DataFrame, group: str) -> DataFrame:

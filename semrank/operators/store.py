@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semrank.constants import SEEN_PRECISION_S
+from semrank.operators.ranks import numbered, running
+from semrank.sources.scratch import written
 
 
 def first_of_feed(entries: DataFrame, source: str, position: str, identity: str, link: str) -> DataFrame:
@@ -50,11 +52,8 @@ def upsert(stored: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     )
     # New entries get ids after the stored ones, later entries of a feed the smaller ones.
     base = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("position").desc()))
-    counts = entries.where("n.id is null").groupBy("source_id").count()
-    before = counts.select("source_id", (F.sum("count").over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))  # a row per source
-    fresh = entries.where("n.id is null").join(before, "source_id").join(F.broadcast(base))
-    fresh = fresh.select((F.col("base") + F.coalesce("before", F.lit(0)) + rank).alias("id"), "source_id", "guid", "url", "title", "snippet", "content", "published", now.alias("seen"), F.lit("new").alias("action"))
+    fresh = numbered(written(entries.where("id is null"), "entries"), ["source_id", F.col("position").desc(), "guid"], name="_rank").join(F.broadcast(base))
+    fresh = fresh.select((F.col("base") + 1 + F.col("_rank")).alias("id"), "source_id", "guid", "url", "title", "snippet", "content", "published", now.alias("seen"), F.lit("new").alias("action"))
     return old.unionByName(fresh)
 
 
@@ -108,6 +107,8 @@ def longest_streak(rows: DataFrame, group: str, order, failed: Column) -> DataFr
 
 
 def within_budget(requests: DataFrame, day: str, order, cost: str, budget: float) -> DataFrame:
-    """Requests sent: those before which the day's cost was still under the budget; the last may overshoot it."""
-    by = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return requests.withColumn("spent_before", F.coalesce(F.sum(cost).over(by), F.lit(0.0))).where(F.col("spent_before") < budget)
+    """Requests sent: those before which the day's cost was still under the budget; the last may overshoot it.
+
+    A day's requests may be any number: its running sum is made in parts. order tells requests apart.
+    """
+    return running(requests, list(order), cost, [day], "spent_before").where(F.col("spent_before") < budget)
