@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semrank.llm import decontamination, embedding_dedup, langid, line_dedup, minhash, packing, substring_dedup, token_count, toxicity, url_reputation
+from semrank.llm import decontamination, embedding_dedup, langid, line_dedup, merkle, minhash, packing, resampling, sharding, substring_dedup, token_count, toxicity, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(_fold(7) == 0, F.col("n_chars") + 1)
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shards(_table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return rows.select("doc_id", sharding.size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -89,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_sharding": op13_sharding,
     }
 
 
@@ -208,12 +227,79 @@ FROM w LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+_OP11 = """
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM range(256) r(i))
+), f AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS f1, coalesce(strlen(source) || ':' || source, '-') AS f2, coalesce(strlen(lang) || ':' || lang, '-') AS f3,
+         coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS f4, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS f4b, coalesce(strlen(text) || ':' || text, '-') AS f5,
+         xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]), 4294967295)) % 7 = 0 AS tampered FROM documents, tab
+), leaf AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256(f1 || f2 || f3 || f4 || f5) AS leaf, CASE WHEN tampered THEN sha256(f1 || f2 || f3 || f4b || f5) ELSE sha256(f1 || f2 || f3 || f4 || f5) END AS given,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(f1 || f2 || f3 || f4 || f5)) - 1 AS pos FROM f
+), tree AS (
+  SELECT grp, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY grp) AS n FROM leaf
+  UNION ALL
+  SELECT grp, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY grp, level, pos // 2
+), sub AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2
+), depth AS (SELECT grp, max(level) AS depth FROM tree GROUP BY grp
+), step AS (
+  SELECT grp, level, pos, CASE WHEN pos % 2 = 1 THEN lag(h) OVER w END AS before, CASE WHEN pos % 2 = 0 AND lead(pos) OVER w = pos + 1 THEN lead(h) OVER w END AS after FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY grp, level ORDER BY pos)
+), tstep AS (
+  SELECT level, pos, CASE WHEN pos % 2 = 1 THEN lag(h) OVER w END AS before, CASE WHEN pos % 2 = 0 AND lead(pos) OVER w = pos + 1 THEN lead(h) OVER w END AS after FROM top WHERE n > 1 WINDOW w AS (PARTITION BY level ORDER BY pos)
+), path AS (
+  SELECT grp, leaf.pos AS leaf, level, before, after FROM leaf JOIN depth USING (grp) JOIN step s USING (grp) WHERE s.pos = leaf.pos >> s.level
+  UNION ALL
+  SELECT grp, leaf.pos, depth + s.level, before, after FROM leaf JOIN depth USING (grp) JOIN sub USING (grp), tstep s WHERE s.pos = sub.pos >> s.level
+), proof AS (SELECT grp, leaf AS pos, list(struct_pack(b := coalesce(before, ''), a := coalesce(after, '')) ORDER BY level) AS p FROM path GROUP BY ALL
+), folded AS (
+  SELECT grp, pos, coalesce(p, []) AS p, leaf, given, doc_id, list_reduce([struct_pack(b := given, a := '')] || coalesce(p, []), lambda x, y: struct_pack(b := sha256(y.b || x.b || y.a), a := '')).b AS folded_root
+  FROM leaf LEFT JOIN proof USING (grp, pos)
+)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(coalesce(list_aggregate(list_transform(p, lambda x: x.b || x.a), 'string_agg', ''), '')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM folded JOIN sub USING (grp), top r WHERE r.n = 1
+"""
+
+_OP12 = """
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents
+), f AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM docs
+), items AS (
+  SELECT coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM benchmark
+), tf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM items
+), tab AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM range(256) r(i))
+), hexed AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT gram FROM f UNION SELECT gram FROM tf)
+), bucket AS (
+  SELECT gram, xor(4294967295, list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i : i + 1])::BIGINT), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]), 4294967295)) % 10000 AS bucket FROM hexed, tab
+), d AS (SELECT doc_id, bucket, count(*) AS n FROM f JOIN bucket USING (gram) GROUP BY ALL
+), s AS (SELECT bucket, sum(n) AS s FROM d GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM tf JOIN bucket USING (gram) GROUP BY bucket
+), total AS (SELECT (SELECT coalesce(sum(s), 0)::DOUBLE FROM s) AS all_s, (SELECT coalesce(sum(t), 0)::DOUBLE FROM t) AS all_t
+), g AS (
+  SELECT bucket, floor(1000::DOUBLE * ln((coalesce(t, 0)::DOUBLE + 1) * (all_s + 10000) / ((s::DOUBLE + 1) * (all_t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), total
+), m AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS gain FROM d JOIN g USING (bucket) GROUP BY doc_id
+), x AS (
+  SELECT docs.doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(floor((gain - ((gain % n) + n) % n) / n), 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || docs.doc_id), 1, 8))::BIGINT AS h FROM docs LEFT JOIN m USING (doc_id)
+), y AS (SELECT *, weight + floor(-1000::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x
+), z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM y WHERE words >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= able * 25 // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Operators 2, 3, 5, 6 and 10 can't be written in SQL; tests hold them against brute force or held-out labels."""
+    """Operators 2, 3, 5, 6, 10 and 13 can't be written in SQL; tests hold them against brute force or held-out labels."""
     return {
         "op1_embedding_near_dedup": _OP1,
         "op4_line_dedup": _OP4,
         "op7_url_reputation": _OP7,
         "op8_decontamination": _OP8,
         "op9_substring_dedup": _OP9,
+        "op11_merkle_manifest": _OP11,
+        "op12_importance_resampling": _OP12,
     }
