@@ -6,6 +6,7 @@ Texts longer than a slice are hashed in pieces that end between two words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,6 @@ SLICE_ROWS = 1 << 15
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,14 +35,20 @@ def keys(seed: int, n: int) -> np.ndarray:
 
 
 class WordClass:
-    """Which bytes belong to words, and the value that each byte adds to a word's hash."""
+    """Which bytes belong to words, and what each byte counts as."""
 
     def __init__(self, word: np.ndarray, fold_case: bool):
         self.word = word
-        letter = np.arange(256)
+        self.letter = np.arange(256, dtype=np.uint8)
         if fold_case:
-            letter[65:91] += 32
-        self.value = mix((letter + 1).astype(np.uint64) * _U(_BASE))
+            self.letter[65:91] += 32
+        #: Words' bytes as they count, all others as spaces.
+        self.spaced = bytes(np.where(word, self.letter, 0x20).astype(np.uint8))
+
+    def normal(self, text: str | None) -> bytes:
+        """The words of a text, joined by one space."""
+        # Bytes that split() takes for spaces are in no word of either class.
+        return b" ".join((text or "").encode().translate(self.spaced).split())
 
 
 def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
@@ -57,21 +63,14 @@ SPACED = WordClass(~_bytes((0x20, 0x20), (0x09, 0x0D)), fold_case=False)
 #: Words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of the text with A-Z lower-cased.
 FOLDED = WordClass(_bytes((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)), fold_case=True)
 
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for at, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[at] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
 
+def _hash_words(buf: np.ndarray, cuts: np.ndarray, cls: WordClass, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts buf[cuts[i]:cuts[i+1]]; offsets of each text's words.
 
-def _hash_words(buf: np.ndarray, cuts: np.ndarray, cls: WordClass) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts buf[cuts[i]:cuts[i+1]]; offsets of each text's words."""
+    A word's hash is that of its length and the sum of its 8-byte blocks, each mixed under a key of its place and the seed: not
+    a polynomial, whose sums cancel for some words under every base.
+    """
     n = len(buf)
     if n == 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(cuts), dtype=np.int64)
@@ -88,12 +87,29 @@ def _hash_words(buf: np.ndarray, cuts: np.ndarray, cls: WordClass) -> tuple[np.n
     lasts = cuts[1:]
     after[lasts[lasts > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    power, inverse = _power_tables(n)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(cls.value[buf] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return hashes, np.searchsorted(starts, cuts)
+    padded = np.zeros(n + 8, dtype=np.uint8)
+    padded[:n] = cls.letter[buf]
+    at_byte = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    key = _place_keys(seed, 1 + int(size.max(initial=1) - 1) // 8)
+    sums = mix((at_byte[starts] & _LOW[np.minimum(size, 8)]) ^ key[0])
+    more = np.flatnonzero(size > 8)
+    if len(more):  # the blocks after the first
+        blocks = (size[more] - 1) // 8
+        first = np.cumsum(blocks) - blocks
+        word = np.repeat(np.arange(len(more)), blocks)
+        place = np.arange(len(word)) - first[word] + 1
+        block = at_byte[starts[more][word] + 8 * place] & _LOW[np.minimum(size[more][word] - 8 * place, 8)]
+        sums[more] += np.add.reduceat(mix(block ^ key[place]), first)
+    return mix(sums + size.astype(np.uint64) * _U(_BASE)), np.searchsorted(starts, cuts)
+
+
+#: Masks of the lowest 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _place_keys(seed: int, n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(_BASE) + _U(seed) * _U(0xD6E8FEB86659FD93))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +128,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, dtype=np.uint8), cuts
 
 
-def word_slices(column: pa.Array | pa.ChunkedArray, cls: WordClass) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_slices(column: pa.Array | pa.ChunkedArray, cls: WordClass, seed: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, offsets of each row's words) of consecutive rows of about SLICE_BYTES."""
     buf, cuts = text_bytes(column)
     rows, lo = len(cuts) - 1, 0
@@ -121,7 +137,7 @@ def word_slices(column: pa.Array | pa.ChunkedArray, cls: WordClass) -> Iterator[
         hi = min(hi, rows, lo + SLICE_ROWS)
         part = buf[cuts[lo] : cuts[hi]]
         if len(part) <= 2 * SLICE_BYTES:
-            hashes, offs = _hash_words(part, cuts[lo : hi + 1] - cuts[lo], cls)
+            hashes, offs = _hash_words(part, cuts[lo : hi + 1] - cuts[lo], cls, seed)
             yield lo, hi, hashes, offs
         else:  # one long text
             found, at = [], 0
@@ -130,7 +146,7 @@ def word_slices(column: pa.Array | pa.ChunkedArray, cls: WordClass) -> Iterator[
                 while end < len(part) and cls.word[part[end - 1]] and cls.word[part[end]]:
                     step = np.flatnonzero(~cls.word[part[end : end + SLICE_BYTES]])
                     end = end + (int(step[0]) if len(step) else min(SLICE_BYTES, len(part) - end))
-                found.append(_hash_words(part[at:end], np.array([0, end - at]), cls)[0])
+                found.append(_hash_words(part[at:end], np.array([0, end - at]), cls, seed)[0])
                 at = end
             hashes = np.concatenate(found)
             yield lo, hi, hashes, np.array([0, len(hashes)], dtype=np.int64)
@@ -156,11 +172,12 @@ def inside(offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(count.sum())) - first[rows] + offs[:-1][rows], rows
 
 
-def fingerprints(words: np.ndarray, offs: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of each text's whole word sequence."""
-    power, inverse = _power_tables(len(words) + 1)
-    sums = np.empty(len(words) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(mix(words ^ keys(seed, 1)[0]) * power[: len(words)], out=sums[1:])
-    lo, hi = offs[:-1], offs[1:]
-    return mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * keys(seed, 2)[1])
+def digest(words: bytes) -> bytes:
+    """16 bytes that tell different byte strings apart: no two are known, or can be made with any known effort, to share them."""
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def digests(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """digest() of each, as two arrays of 64-bit integers."""
+    both = np.frombuffer(b"".join(map(digest, words)), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]

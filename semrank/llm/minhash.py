@@ -12,7 +12,7 @@ mean-shingles-per-document / rare of these, so the table has a bound that doesn'
 All others are dealt by hash to tasks that count them, and go back to their documents with their counts: six bytes a shingle
 and two for the document's number in its chunk of rows; a chunk's name follows from its rows, so a task run again deals alike.
 
-Skew: texts with equal word sequences are one node of the search, whatever their number. A bucket of a band compares its
+Skew: texts with equal word sequences, by a cryptographic digest of their words, are one node of the search, whatever their number. A bucket of a band compares its
 members with one leader, not with each other; only members that are not in the leader's class afterwards are compared
 further. For these, `check_samples` one-byte samples of the whole bags estimate the similarity, and a pair is verified unless the estimate is
 `check_sigmas` standard errors below the threshold (a chance of about one in a million for a true link). Only documents with
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semrank.llm.common import batch, components, forget, lookup, map_arrow, released, stored
-from semrank.llm.hashing import FOLDED, fingerprints, inside, keys, mix, ngrams, word_slices
+from semrank.llm.hashing import FOLDED, digests, inside, keys, mix, ngrams, word_slices
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -379,15 +379,16 @@ def _weights(b, common, p: NearDup) -> Iterator[tuple]:
 
 
 def _signatures(docs: DataFrame, common, p: NearDup) -> DataFrame:
-    """(doc_id, f1, f2, bands): fingerprint of the word sequence and the band keys; no row for a text without words."""
+    """(doc_id, f1, f2, bands): digest of the word sequence and the band keys; no row for a text without words."""
 
     def sign(b):
         for lo, hi, words, offs, row, grams, tf, rarity in _weights(b, common, p):
             full = np.flatnonzero(np.diff(offs))
             bands = band_keys(samples(row, grams, tf * rarity, hi - lo, p.samples, p.seed), p)[full].astype(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * p.bands), pa.array(bands.ravel()))
-            ids = b.column("doc_id").slice(lo, hi - lo).take(pa.array(full))
-            yield batch(doc_id=ids, f1=fingerprints(words, offs, 3)[full].astype(np.int64), f2=fingerprints(words, offs, 4)[full].astype(np.int64), bands=flat)
+            of = pa.array(full + lo)
+            f1, f2 = digests([FOLDED.normal(b.column("text")[int(i)].as_py()) for i in full + lo])
+            yield batch(doc_id=b.column("doc_id").take(of), f1=f1, f2=f2, bands=flat)
 
     return map_arrow(docs.select("doc_id", "text", "grams", "dfs"), sign, "doc_id long, f1 long, f2 long, bands array<long>")
 

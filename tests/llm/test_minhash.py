@@ -144,3 +144,13 @@ def test_idf_grows_below_the_common_share(spark):
     assert exact < p.threshold < flat
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), p).collect()}
     assert got == {i: i for i, _ in rows}
+
+
+def test_texts_that_cancel_in_polynomials_are_two_nodes(spark):
+    """Two texts that every polynomial modulo 2^64 takes for one: they differ at 2,048 of 4,096 places."""
+    bit = lambda i, flip: (bin(i).count("1") + flip) % 2
+    fill = " ".join(f"f{i}" for i in range(2048))
+    rows = [(k + 1, " ".join("xy"[bit(i, k)] for i in range(2048)) + " " + fill) for k in (0, 1)]
+    long = [(k + 3, "".join("xy"[bit(i, k)] for i in range(2048))) for k in (0, 1)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows + long, "doc_id long, text string")).collect()}
+    assert got[3] == 3 and got[4] == 4

@@ -1,7 +1,11 @@
 import hashlib
 import random
 
-from semrank.llm.substring_dedup import Repeats, deduplicate, repeats, spans
+import pytest
+from pyspark.sql import functions as F
+
+from semrank.llm.hashing import digest
+from semrank.llm.substring_dedup import Repeats, deduplicate, repeats
 
 WORDS = ["the", "of", "a"] * 5 + [f"w{i}" for i in range(60)] + ["Ünï", "x y", "."]
 
@@ -48,10 +52,55 @@ def test_spans_are_paths_with_sources(spark):
     rows = fixture()
     words = {i: (t or "").encode().split() for i, t in rows}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = spans(repeats(docs)).collect()
+    found = repeats(docs).collect()
     assert found
     for s in found:
-        assert s.source_doc < s.doc_id and words[s.doc_id][s.start : s.start + s.length] == words[s.source_doc][s.source_start : s.source_start + s.length]
+        here, there = words[s.doc_id][s.start : s.start + s.length], words[s.source_doc][s.source_start : s.source_start + s.length]
+        assert s.source_doc < s.doc_id and here == there and digest(b" ".join(there)) == s.words
+
+
+def thue_morse(n, letters="ab", flip=0):
+    return [letters[(bin(i).count("1") + flip) % 2] for i in range(n)]
+
+
+def test_words_and_texts_that_cancel_in_polynomials(spark):
+    """Words and texts of which every polynomial modulo 2^64 has the same value."""
+    one, two = "".join(thue_morse(2048)), "".join(thue_morse(2048, flip=1))
+    rows = [(1, " ".join([one, *(f"w{i}" for i in range(12))])), (2, " ".join([two, *(f"w{i}" for i in range(12))]))]
+    # Long texts that differ at 2,048 places only.
+    fill = " ".join(f"f{i}" for i in range(26_624))
+    rows += [(3, " ".join(thue_morse(2048, ["x", "y"])) + " " + fill), (4, " ".join(thue_morse(2048, ["x", "y"], 1)) + " " + fill)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in deduplicate(docs).collect()}
+    assert got == brute(rows, 13)
+    assert got[2][1] == 0
+
+
+def test_collisions_of_hashes_are_found_and_undone(spark, monkeypatch):
+    """With hashes of windows that collide under the first seed, words are compared at the sources and the second seed is right."""
+    from semrank.llm import substring_dedup
+
+    right = substring_dedup._edges
+
+    def colliding(texts, p, seed, until=1):
+        rows = right(texts, p, seed)
+        return rows if seed >= until else rows.withColumn("hs", F.transform("hs", lambda h: F.lit(1).cast("long"))).withColumn("gs", F.transform("gs", lambda g: F.lit(1)))
+
+    monkeypatch.setattr(substring_dedup, "_edges", colliding)
+    rows = fixture()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 13)
+    monkeypatch.setattr(substring_dedup, "_edges", lambda texts, p, seed: colliding(texts, p, seed, 9))
+    with pytest.raises(RuntimeError):
+        deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_several_texts_of_one_doc_id(spark):
+    """Each text of a doc_id is held against smaller doc_ids, not against the others of its own."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, f"{c} {b}"), (2, f"q {a} q"), (2, f"q {a} q"), (2, None), (2, b), (3, f"{b} z"), (3, f"q {a} q")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted([(1, 40, 0, a), (2, 80, 0, f"{c} {b}"), (2, 42, 40, "q q"), (2, 42, 40, "q q"), (2, 0, 0, ""), (2, 40, 0, b), (3, 41, 40, "z"), (3, 42, 42, "")])
 
 
 def test_repeated_rows_nulls_and_clashing_columns(spark):
