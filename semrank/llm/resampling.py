@@ -5,8 +5,9 @@ of its bytes modulo `buckets`. A bucket's gain is the log ratio of its smoothed
 corpus, in thousandths. A document's weight is the mean gain of its features; weight plus Gumbel noise, which a seeded hash of
 its doc_id gives, orders the documents, and the highest are drawn: without replacement, with odds in proportion to the weights.
 
-1. Both sides' features are exploded and counted per bucket; each task adds up its own before the shuffle, so a very frequent
-   word costs no more than a rare one.
+1. Each text is read and hashed once: its features' buckets are written as an array of two-byte numbers. Both sides' arrays are
+   exploded and counted per bucket; each task adds up its own before the shuffle, so a very frequent word costs no more than a
+   rare one.
 2. The gains are a table of `buckets` rows, however large the corpus is; it is broadcast and joined to the exploded features,
    whose gains are summed per row of documents, again in the task before the shuffle.
 3. The draw sorts documents by range of score; ranks are positions within a partition plus the sizes of those before
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import stored
+from semrank.llm.common import forget, stored
 from semrank.llm.decontamination import words
 from semrank.operators.ranks import numbered
 
@@ -39,10 +40,8 @@ class Resampling:
     seed: int = 7
 
 
-def exploded(rows: DataFrame, p: Resampling) -> DataFrame:
-    """rows (with column text) exploded to one row per feature with its `bucket`, and one of null for a text without any; the
-    number of `words` is added, text goes.
-    """
+def hashed(rows: DataFrame, p: Resampling) -> DataFrame:
+    """rows (with column text) with the number of `words` and the array `buckets`, one element per feature, instead of the text."""
     keep = [c for c in rows.columns if c != "text"]
     split = rows.select(*keep, F.coalesce(words(F.col("text")), F.array()).alias("w"))
 
@@ -51,26 +50,30 @@ def exploded(rows: DataFrame, p: Resampling) -> DataFrame:
         run = lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + k) for k in range(1, n)])
         return F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(0))), run)
 
-    grams = split.select(*keep, F.size("w").alias("words"), F.explode_outer(F.concat(*[runs(n) if n > 1 else F.col("w") for n in range(1, p.most + 1)])).alias("gram"))
-    return grams.select(*keep, "words", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(p.buckets)).alias("bucket"))
+    bucket = lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(p.buckets)).cast("short" if p.buckets < 1 << 15 else "int")
+    grams = F.concat(*[runs(n) if n > 1 else F.col("w") for n in range(1, p.most + 1)])
+    return split.select(*keep, F.size("w").cast("long").alias("words"), F.transform(grams, bucket).alias("buckets"))
+
+
+def _counts(sides: DataFrame, name: str) -> DataFrame:
+    return sides.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
 
 def gains(docs: DataFrame, target: DataFrame, p: Resampling = Resampling()) -> DataFrame:
-    """(bucket, gain) of all buckets that either side has; both sides have a column text."""
-    both = exploded(docs.select("text", F.lit(0).alias("of")), p).unionByName(exploded(target.select("text", F.lit(1).alias("of")), p))
-    counts = stored(both.where("bucket is not null").groupBy("bucket").agg(F.count_if(F.col("of") == 0).alias("s"), F.count_if(F.col("of") == 1).alias("t")), "buckets")
+    """(bucket, gain) of all buckets that docs has; both sides are results of hashed()."""
+    counts = stored(_counts(docs, "s").join(_counts(target, "t"), "bucket", "full"), "buckets")  # at most p.buckets rows each
     total = counts.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("all_s"), F.coalesce(F.sum("t"), F.lit(0)).cast("double").alias("all_t"))
-    ratio = (F.col("t").cast("double") + 1) * (F.col("all_s") + p.buckets) / ((F.col("s").cast("double") + 1) * (F.col("all_t") + p.buckets))
-    return counts.join(F.broadcast(total)).select("bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain"))  # total: one row
+    ratio = (F.coalesce("t", F.lit(0)).cast("double") + 1) * (F.col("all_s") + p.buckets) / ((F.col("s").cast("double") + 1) * (F.col("all_t") + p.buckets))
+    return counts.join(F.broadcast(total)).where("s is not null").select("bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain"))  # total: one row
 
 
-def weights(docs: DataFrame, gain: DataFrame, p: Resampling = Resampling()) -> DataFrame:
-    """(doc_id, n_words, n_features, weight) per row of docs."""
-    rows = exploded(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), p)
+def weights(docs: DataFrame, gain: DataFrame) -> DataFrame:
+    """(doc_id, row, n_words, n_features, weight) per row of docs (doc_id, row, words, buckets)."""
+    rows = docs.select("doc_id", "row", "words", F.explode_outer("buckets").alias("bucket"))
     found = rows.join(F.broadcast(gain), "bucket", "left")  # at most p.buckets rows
-    sums = found.groupBy("doc_id", "row").agg(F.first("words").cast("long").alias("n_words"), F.count("bucket").alias("n_features"), F.sum("gain").alias("gain"))
+    sums = found.groupBy("doc_id", "row", "words").agg(F.count("bucket").alias("n_features"), F.sum("gain").alias("gain"))
     mean = F.expr("(gain - pmod(gain, n_features)) div n_features")  # floored, in whole numbers
-    return sums.select("doc_id", "row", "n_words", "n_features", F.when(F.col("n_features") > 0, mean).otherwise(F.lit(0)).cast("long").alias("weight"))
+    return sums.select("doc_id", "row", F.col("words").alias("n_words"), "n_features", F.when(F.col("n_features") > 0, mean).otherwise(F.lit(0)).cast("long").alias("weight"))
 
 
 def noise(doc_id: Column, seed: int) -> Column:
@@ -81,8 +84,10 @@ def noise(doc_id: Column, seed: int) -> Column:
 
 def resample(docs: DataFrame, target: DataFrame, p: Resampling = Resampling()) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_features, weight, score, rank (1, 2, 3 ... of the drawn, null for the others)."""
-    scored = weights(docs, gains(docs, target, p), p).withColumn("score", F.col("weight") + noise(F.col("doc_id"), p.seed))
+    every = stored(hashed(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), p), "features")
+    scored = weights(every, gains(every, hashed(target.select("text"), p), p)).withColumn("score", F.col("weight") + noise(F.col("doc_id"), p.seed))
     scored = stored(scored, "scores")
+    forget(every)
     able = F.col("n_words") >= p.least_words
     drawn = scored.where(able).count() * p.percent // 100
     ranked = numbered(scored.where(able), [F.col("score").desc(), "doc_id", "row"], name="rank").withColumn("rank", F.when(F.col("rank") < drawn, F.col("rank") + 1))
