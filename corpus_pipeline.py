@@ -7,7 +7,7 @@ stage's input is deleted when its output is written.
 Defined results: stages but the last return those of the columns doc_id, text, lang, source, n_chars that their input has; other columns are
 dropped, so their names don't matter. A null text has no words, lines or tokens: it is kept, and packed as its end id. Rows
 without doc_id are kept by the first four stages. Rows that repeat a doc_id stay and go together in stages 1, 3 and 4, and keep their own lines
-in stage 2 as line_dedup says. An empty table stays empty.
+in stage 2, as line_dedup says, also where their texts differ. An empty table stays empty.
 """
 
 from __future__ import annotations

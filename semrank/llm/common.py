@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, spark.checkpoint.dir; where that is unset, a temporary folder on a local master only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="semrank-"))
-        at = sc._jsc.sc().getCheckpointDir().get()
-    return at.rstrip("/")
+from semrank.sources.scratch import folder
 
 
 #: Shuffle files of a finished write are deleted at once, not when the driver's garbage collector finds them.
@@ -31,7 +18,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: its lineage ends there and lost executors don't lose it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -50,6 +37,16 @@ def forget(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart: 60 bits of a cryptographic digest."""
+    return F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("long")
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """The doc_ids, but for null, that several rows have; a written table."""
+    return stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+
+
 def released(task: Callable) -> Callable:
     """task, a function of mapInArrow, that ends with its worker's free memory given back: workers outlive their tasks, and the
     allocators of Arrow and of C else keep what the largest task of any stage before needed.

@@ -6,8 +6,9 @@ character n-grams of the whole lower-cased text with everything but letters as o
 language is fitted (targets +1 and -1); the highest output wins. Scoring is one matrix product of a block's presence matrix
 with the landmarks' and one with the coefficients.
 
-Learned from at most about `per_language` documents of each of at most `max_languages` languages, chosen by a hash of doc_id and
-text; rows that are repeated count once. Only their kernel rows and the landmarks' buckets come to the driver.
+Learned from at most about `per_language` documents of each language and `most_rows` in all, chosen by a hash of doc_id and text;
+rows that are repeated count once. Only their kernel rows and the landmarks' buckets come to the driver. Every language that
+labels a text with letters is learned: where there are very many, each has fewer landmarks and documents, but at least one.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, or if nothing was learned. The score is the
 winner's output mapped from -1..1 to 0..1. Rows that repeat a doc_id get the same answer; other columns are ignored.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, map_arrow, released
+from semrank.llm.common import batch, map_arrow, released, stored
 from semrank.llm.hashing import keys, mix
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -43,8 +44,8 @@ class LangId:
     buckets: int = 1 << 14
     landmarks: int = 16
     per_language: int = 1000
-    #: The most frequent languages that are learned.
-    max_languages: int = 1000
+    most_landmarks: int = 4096
+    most_rows: int = 20_000
     ridge: float = 1e-2
     rows: int = 256
     #: Characters of one step over a text.
@@ -104,27 +105,31 @@ def train(docs: DataFrame, p: LangId = LangId()) -> Model:
     """docs (doc_id, text, lang); rows without lang are not used."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     known = known.withColumn("spread", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_languages).collect()}
-    if not counts:
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    langs = sorted(r.lang for r in counts.select("lang").collect())  # a row per language, as the model has
+    if not langs:
         return Model([], [], np.zeros((0, 0)), np.zeros(0))
-    langs = sorted(counts)
+    landmarks = max(1, min(p.landmarks, p.most_landmarks // len(langs)))
+    per_language = max(1, min(p.per_language, p.most_rows // len(langs)))
+
     def chosen(n):
-        share = F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, 1.1 * n / counts[lang])))]), F.col("lang"))
-        return known.where(F.col("spread") < share).dropDuplicates(["doc_id", "spread", "lang"])  # repeated rows count once
+        """About n documents of each language: at least one of a language that has no more than n."""
+        some = known.join(F.broadcast(counts), "lang").where(F.col("spread") * F.col("n") < 1.1 * n + 8)
+        return some.dropDuplicates(["doc_id", "spread", "lang"])  # repeated rows count once
 
     def mark(b):
         rows = presence(b.column("text").to_pylist(), p)
         yield batch(lang=b.column("lang"), doc_id=b.column("doc_id"), marks=pa.array([np.flatnonzero(r).astype(np.int32) for r in rows], pa.list_(pa.int32())))
 
-    found = map_arrow(chosen(4 * p.landmarks), mark, "lang string, doc_id long, marks array<int>").toPandas()
+    found = map_arrow(chosen(4 * landmarks), mark, "lang string, doc_id long, marks array<int>").toPandas()
     found["key"] = [tuple(m) for m in found.marks]
     found = found[found.marks.map(len) > 0].sort_values(["lang", "doc_id", "key"], na_position="first").drop_duplicates("key")
     # Half of the landmarks are long texts, which share n-grams with everything; the others are as they come.
     found["rank"] = found.marks.map(len)
     parts = []
     for _, g in found.groupby("lang", sort=True):
-        long = g.sort_values(["rank", "doc_id"], ascending=False).head(p.landmarks // 2)
-        parts += [long, g.drop(long.index).head(p.landmarks - len(long))]
+        long = g.sort_values(["rank", "doc_id"], ascending=False).head(landmarks // 2)
+        parts += [long, g.drop(long.index).head(landmarks - len(long))]
     marks = [np.array(m, dtype=np.int64) for part in parts for m in part.marks]
     model = Model(langs, marks, np.zeros((len(marks), len(langs))), np.zeros(len(langs)))
     if not marks:
@@ -138,7 +143,7 @@ def train(docs: DataFrame, p: LangId = LangId()) -> Model:
             k = kernel(presence(texts[at : at + p.rows], p), dense)
             yield batch(lang=b.column("lang").slice(at, len(k)), doc_id=b.column("doc_id").slice(at, len(k)), k=pa.array(list(k.astype(np.float64)), pa.list_(pa.float64())))
 
-    data = map_arrow(chosen(p.per_language), rows, "lang string, doc_id long, k array<double>").toPandas()
+    data = map_arrow(chosen(per_language), rows, "lang string, doc_id long, k array<double>").toPandas()
     data = data[data.k.map(max) > 0].sort_values(["lang", "doc_id"], na_position="first")
     if not len(data):
         return Model([], [], np.zeros((0, 0)), np.zeros(0))

@@ -32,10 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semrank.llm.common import batch, forget, lookup, map_arrow, released, stored
+from semrank.llm.common import batch, forget, lookup, map_arrow, released, repeated_ids, stored, text_key
 from semrank.llm.hashing import SPACED, digest, digests, inside, ngrams, word_slices
 
 
@@ -65,18 +65,13 @@ def _identified(docs: DataFrame) -> DataFrame:
     Texts move only where a doc_id repeats.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    repeated = repeated_ids(docs)
     if repeated.isEmpty():
         return docs.select("doc_id", F.lit(0).cast("long").alias("k"), "text")
-    some = docs.join(repeated, "doc_id", "left_semi").select("doc_id", _key().alias("k"), F.coalesce("text", F.lit("")).alias("text")).groupBy("doc_id", "k").agg(F.min("text").alias("text"))
+    some = docs.join(repeated, "doc_id", "left_semi").select("doc_id", text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text")).groupBy("doc_id", "k").agg(F.min("text").alias("text"))
     return docs.join(repeated, "doc_id", "left_anti").select("doc_id", F.lit(0).cast("long").alias("k"), "text").unionByName(stored(some, "documents"))
 
 
-def _key() -> Column:
-    """Tells the texts of one doc_id apart: 60 bits of a cryptographic digest."""
-    return F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("long")
-
-
 def _copies(docs: DataFrame, p: Repeats) -> DataFrame:
     """(doc_id, k) of the texts whose whole word sequence a smaller doc_id has."""
 
@@ -290,7 +285,7 @@ def _cut(every: DataFrame, docs: DataFrame, copies: DataFrame, found: DataFrame,
     repeated = docs.where("k <> 0")
     # A text of a repeated doc_id has as many results as rows.
     if not repeated.isEmpty():
-        times = every.join(repeated.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", _key().alias("k")).agg(F.count("*").cast("int").alias("times"))
+        times = every.join(repeated.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", text_key().alias("k")).agg(F.count("*").cast("int").alias("times"))
         done = done.join(times, by, "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))))
     rows = done.select(*none.columns).unionByName(none)
 

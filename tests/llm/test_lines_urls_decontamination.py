@@ -41,6 +41,16 @@ def test_lines_equal_brute_force(spark):
     assert sorted((r.doc_id, r.n_removed) for r in twice.collect()) == [(1, 0), (1, 0), (2, 3)]
 
 
+def test_lines_of_several_texts_of_one_doc_id(spark):
+    """Each text is cut by its own windows; of texts that share one, one keeps it."""
+    rows = [(1, "a\nb\nc"), (2, "z1\nz2\nz3\nz4\nz5\na\nb\nc"), (2, "q\nr"), (2, "q\nr"), (2, None), (2, "m\nn\no\nx"), (2, "m\nn\no\ny")]
+    got = deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    out = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_left, r.text) for r in got if r.text not in ("x", "y", "m\nn\no\nx", "m\nn\no\ny") and r.text is not None)
+    assert out == [(1, 3, 0, 3, "a\nb\nc"), (2, 2, 0, 2, "q\nr"), (2, 2, 0, 2, "q\nr"), (2, 8, 3, 5, "z1\nz2\nz3\nz4\nz5")]
+    assert sorted(r.text for r in got if r.text and r.text[-1] in "xy") in (["m\nn\no\nx", "y"], ["m\nn\no\ny", "x"])
+    assert [(r.n_lines, r.n_removed) for r in got if r.text is None] == [(0, 0)]
+
+
 def words(t):
     out, now = [], ""
     for c in (t or "") + " ":
