@@ -38,8 +38,10 @@ def changed(old: str, new: str, columns) -> Column:
     return out
 
 
-def upsert(stored: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    """Next rows with `action` (new, edited, kept): published is only filled, never moved; seen only grows."""
+def upsert(stored: DataFrame, batch: DataFrame, now: Column, last_id: Column | None = None) -> DataFrame:
+    """Next rows with `action` (new, edited, kept): published is only filled, never moved; seen only grows. last_id: the largest id
+    given so far, where stored is a part of the table.
+    """
     entries = match(stored, batch).alias("n")
     known = entries.where("id is not null").alias("n")
     joined = stored.alias("o").join(known, F.col("o.id") == F.col("n.id"), "left")
@@ -51,7 +53,7 @@ def upsert(stored: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
         F.coalesce("o.published", "n.published").alias("published"), listed, F.when(edited, "edited").otherwise("kept").alias("action"),
     )
     # New entries get ids after the stored ones, later entries of a feed the smaller ones.
-    base = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("base"))
+    base = stored.agg((F.coalesce(F.max("id"), F.lit(-1)) if last_id is None else last_id).alias("base"))
     fresh = numbered(written(entries.where("id is null"), "entries"), ["source_id", F.col("position").desc(), "guid"], name="_rank").join(F.broadcast(base))
     fresh = fresh.select((F.col("base") + 1 + F.col("_rank")).alias("id"), "source_id", "guid", "url", "title", "snippet", "content", "published", now.alias("seen"), F.lit("new").alias("action"))
     return old.unionByName(fresh)

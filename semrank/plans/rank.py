@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from semrank.constants import LIST_CAP
+from semrank.constants import LIST_CAP, LIST_UNSURE
 from semrank.functions import sentence as S
 from semrank.functions.judge import FOUND
 from semrank.operators import rank
@@ -57,6 +57,11 @@ def _banded(spark, sf, texts=SENTENCES):
     return rank.banded(rank.judge(_pairs(spark, sf, texts)))
 
 
+def listable(spark, sf):
+    """Rows of each sentence's list over the newest window: banded, with the probability that is shown."""
+    return _banded(spark, sf).where(F.col("shown") >= LIST_UNSURE)
+
+
 def _cached(spark, sf, pairs=_pairs):
     """Judgments of two thirds of the texts, for the first three sentences, one third by an older model."""
     rows = rank.judge(pairs(spark, sf)).where("id % 3 <> 1 AND pin_id < 3")

@@ -1,4 +1,4 @@
-"""Structured Streaming: entries to items, deduplication, daily totals, sticky saturation.
+"""Structured Streaming: deduplication, daily totals, sticky saturation.
 
 Each query also runs as a batch; a stream with the availableNow trigger gives the batch's rows. State is bounded: ids within
 the watermark, one row per day, one flag per article.
@@ -6,18 +6,22 @@ the watermark, one row per day, one flag per article.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from semrank.operators import store
-
 
-def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    """A folder of Parquet files as a stream; its schema is that of the files there now."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def fed(spark: SparkSession, batches: list[DataFrame], path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Runs a stream over each batch in turn: the batch's files are added to the folder, the stream goes on from its checkpoint and
+    takes them as one micro-batch, however many they are.
+    """
+    for batch in batches:
+        batch.write.mode("append").parquet(path)
+        start(spark.readStream.schema(batch.schema).parquet(path)).awaitTermination()
 
 
 def deduplicated(events: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
@@ -32,20 +36,6 @@ def daily_totals(events: DataFrame, ts: str, value: Column, delay: str = "1 day"
     return rows.groupBy(F.window(ts, "1 day").alias("w")).agg(F.sum(value).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "total")
 
 
-def upserted(spark: SparkSession, entries: DataFrame, path: str, checkpoint: str, now: Column):
-    """Folds a stream of entries into the item table's versions under `path`; a batch that runs again rewrites its version.
-
-    Version n holds the table after batch n, so a restart finds the state before the batch it repeats.
-    """
-
-    def fold(batch: DataFrame, n: int) -> None:
-        before = spark.read.parquet(f"{path}/v={n}")
-        after = store.upsert(before, batch, now).select(*[F.col(c).cast(t).alias(c) for c, t in before.dtypes])
-        after.write.mode("overwrite").parquet(f"{path}/v={n + 1}")
-
-    return entries.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def sticky_saturation(judged: DataFrame, share: float, least: int) -> DataFrame:
     """judged (item_id, found boolean) as a stream: item_id, checked, found, saturated; once saturated, an article stays so."""
 
@@ -53,7 +43,8 @@ def sticky_saturation(judged: DataFrame, share: float, least: int) -> DataFrame:
         checked, found, saturated = state.get if state.exists else (0, 0, False)
         for pdf in frames:
             checked, found = checked + len(pdf), found + int(pdf.found.sum())
-            saturated = saturated or (checked >= least and found > share * checked)
+        # Judged once a micro-batch, not once a frame of it.
+        saturated = saturated or (checked >= least and found > share * checked)
         state.update((checked, found, saturated))
         yield pd.DataFrame({"item_id": [key[0]], "checked": [checked], "found": [found], "saturated": [saturated]})
 
