@@ -198,6 +198,7 @@ def _meet(edges: DataFrame) -> DataFrame:
 def _join(edges: DataFrame) -> DataFrame:
     """The same for edges with any number of equal windows."""
     each = edges.select("doc_id", "k", "pos", F.posexplode(F.arrays_zip("hs", "gs")).alias("i", "x")).select("doc_id", "k", (F.col("pos") + F.col("i")).alias("pos"), "x.hs", "x.gs")
+    each = stored(each, "hot_edges")
     source = each.groupBy("hs", "gs").agg(F.min(F.struct("doc_id", "k", "pos")).alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("source.doc_id < last")
     found = lookup(each, stored(source.select("hs", "gs", "source", "n"), "sources"), ["hs", "gs"]).where("doc_id > source.doc_id")
     return found.select("doc_id", "k", "pos", F.lit(1).alias("n"), F.col("source.doc_id").alias("source_doc"), F.col("source.k").alias("source_k"), F.col("source.pos").alias("source_pos"))
@@ -209,7 +210,7 @@ def _repeats(docs: DataFrame, copies: DataFrame, p: Repeats, seed: int) -> DataF
     anchors = _anchors(docs.join(copies.hint("shuffle_hash"), by, "left_anti"), p, seed)
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     marked = anchors.join(shared.select("anchor", (F.col("n") > p.hot).alias("hot")).hint("shuffle_hash"), "anchor")
-    wanted = marked.groupBy(*by).agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    wanted = stored(marked.groupBy(*by).agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")), "wanted")
 
     def texts(name):
         return docs.join(wanted.where(F.size(name) > 0).select(*by, F.col(name).alias("anchors")).hint("shuffle_hash"), by)
