@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semrank.constants import FAILURES_IN_A_ROW, JUDGEABLE, PREJUDGED_ITEMS, PREJUDGED_PASSAGES
 from semrank.operators import rank
+from semrank.operators.ranks import numbered
+from semrank.sources.scratch import written
 
 
 def request_body(model: str, state: Column, frames: Column) -> Column:
@@ -61,6 +65,48 @@ def outcomes(requests: DataFrame) -> DataFrame:
     return out.select("pass_id", F.coalesce("e.ends", F.lit("completed")).alias("outcome"), F.coalesce("e.position", "last").alias("used"))
 
 
+#: A judge: requests (text_hash, position, state, frames: array of text) to (text_hash, position, status, ps: array of answers by
+#: frame, null where there is none). It may call a service in mapInPandas, or be an expression of Columns.
+Judge = Callable[[DataFrame], DataFrame]
+CACHE = "text_hash string, frame_hash string, model string, p double"
+
+
+def cache(spark: SparkSession, root: str) -> DataFrame:
+    """Judgments under root, one of each text, frame and model."""
+    return spark.read.schema(CACHE).parquet(root).dropDuplicates(["text_hash", "frame_hash", "model"])
+
+
+def judge_pass(pairs: DataFrame, root: str, judge: Judge, model: str, wave: int = 256) -> str:
+    """Asks the judge for what pairs (text_hash, state, position, frame_hash, frame) miss in the judgments under root, and returns how
+    the pass ended.
+
+    One request per text, with only the frames that miss an answer, in the order of position, in waves. The answers of a wave are
+    exploded back to rows and committed before the next wave is asked, so what was answered is never asked again, by this pass or by
+    one after a failure; frames without a usable answer stay missing. The pass ends early as outcomes() says.
+    """
+    spark = pairs.sparkSession
+    missing = rank.missing(pairs, cache(spark, root), model)
+    asked = missing.groupBy("text_hash").agg(F.min("position").alias("first"), F.min_by("state", "position").alias("state"), F.array_sort(F.collect_set(F.struct("frame_hash", "frame"))).alias("f"))  # at most PINS frames
+    asked = written(numbered(written(asked, "asked"), ["first", "text_hash"], name="place"), "requests")
+    n, seen, ended = asked.count(), None, "completed"
+    for at in range(0, n, wave):
+        now = asked.where(F.col("place").between(at, at + wave - 1))
+        replies = judge(now.select("text_hash", F.col("place").alias("position"), "state", F.col("f.frame").alias("frames")))
+        replies = written(replies.select("text_hash", "position", "status", "ps"), "replies")
+        each = replies.where("status = 'answered'").join(now.select("text_hash", F.col("f.frame_hash").alias("hashes")), "text_hash")
+        rows = each.select("text_hash", F.explode(F.arrays_zip("hashes", "ps")).alias("x")).select("text_hash", F.col("x.hashes").alias("frame_hash"), F.lit(model).alias("model"), F.col("x.ps").cast("double").alias("p"))
+        rows.where(F.col("p").between(0.0, 1.0) & ~F.isnan("p")).write.mode("append").parquet(root)
+        # A response without any usable answer has failed; the last ones of the waves before count in a row.
+        status = F.when((F.col("status") == "answered") & ~F.exists("ps", lambda p: F.coalesce(p.between(0.0, 1.0), F.lit(False))), "refused").otherwise(F.col("status"))
+        told = replies.select(F.lit(0).alias("pass_id"), "position", status.alias("status"))
+        told = told if seen is None else seen.unionByName(told)
+        ended = outcomes(told).first()["outcome"]
+        if ended != "completed":
+            break
+        seen = spark.createDataFrame(told.orderBy(F.desc("position")).limit(FAILURES_IN_A_ROW - 1).collect(), told.schema)
+    return ended
+
+
 def prejudged(found: DataFrame, passages: DataFrame) -> DataFrame:
     """The first judgeable passages (item_id, idx) of the first found items of a list (id, position)."""
     first = found.where(F.col("position") <= PREJUDGED_ITEMS).select(F.col("id").alias("item_id"))

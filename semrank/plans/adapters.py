@@ -98,10 +98,10 @@ def feed_links(spark, sf):
     return adapters.advertised_feeds(table(spark, sf, "pages").select("page_id", "url", F.expr(_LINKED).alias("html")))
 
 
-@query("catalog_search", "SELECT page_id FROM pages WHERE contains(strip_accents(lower(url || ' ' || substr(html, 1, 300))), 'example') AND contains(strip_accents(lower(url || ' ' || substr(html, 1, 300))), 'title')")
+@query("catalog_search", "SELECT page_id FROM pages WHERE contains(strip_accents(lower(url || ' ' || html)), 'example') AND contains(strip_accents(lower(url || ' ' || html)), 'ouque')")
 def catalog_search(spark, sf):
     """Entries that hold every word, whatever its case and accents."""
-    return table(spark, sf, "pages").where(adapters.found_in("TÎTLE Exámple", F.col("url"), F.substring("html", 1, 300))).select("page_id")
+    return table(spark, sf, "pages").where(adapters.found_in("ÔUQUE Exámple", F.col("url"), F.col("html"))).select("page_id")
 
 
 _LOAD = """named_struct('kind', CASE doc_id % 5 WHEN 0 THEN 'youtube' WHEN 1 THEN 'githubReleases' WHEN 2 THEN 'arxiv' ELSE 'feed' END, 'video', doc_id % 23 = 3, 'chars', CASE WHEN doc_id % 7 <> 0 THEN length(text) END,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from semrank.functions import bodies, messages
@@ -14,6 +15,7 @@ from semrank.plans.rank import ASKED, BASE, BASE_ALL, MODEL, _banded, _pairs
 from semrank.plans.rank import _cached as cached
 from semrank.plans.reader import W as READER
 from semrank.plans.reader import _leveled
+from semrank.sources.scratch import folder, written
 from semrank.sources.tables import ITEM_SQL, PASSAGE_SQL, SENTENCES, items, live_items, passages, sentence_sql, table
 
 _P = "CASE (event_id + {k}) % 7 WHEN 0 THEN '0.25' WHEN 1 THEN '1' WHEN 2 THEN '\"0.5\"' WHEN 3 THEN 'true' WHEN 4 THEN '1.5' WHEN 5 THEN 'null' ELSE '0.875e0' END"
@@ -179,6 +181,11 @@ _KEY = "WHEN 'missing' THEN 'Add a key to search.' WHEN 'rejected' THEN 'The key
 _END = "WHEN 'dailyLimit' THEN 'Daily limit reached. Resets at midnight.' WHEN 'offline' THEN 'Offline. Showing what was already checked.' ELSE 'Stopped after repeated errors.' END"
 
 
+def _runs(spark, sf):
+    """The rows of _RUN."""
+    return spark.sql(_RUN.replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
+
+
 @query("list_feet", f"""WITH r AS ({_RUN}) SELECT event_id, CASE WHEN NOT sources THEN '' WHEN ranked AND key <> 'valid' THEN CASE key {_KEY} WHEN ranked AND outcome IN ('dailyLimit', 'offline', 'stopped') THEN CASE outcome {_END}
   WHEN ranked AND NOT running AND unchecked > 0 THEN {_comma('unchecked')} || ' not checked.' WHEN error IS NOT NULL THEN 'Couldn''t refresh: ' || error || '.' WHEN NOT ranked THEN {_plural('loaded', 'item')} || coalesce(' in ' || title, '')
   WHEN odd THEN 'Exclusions, amounts and dates aren''t judged.' WHEN running AND progress THEN {_comma('checked')} || ' of ' || {_comma('least(win, loaded)')} || ' checked' WHEN running THEN 'Checking ' || {_plural('least(win, loaded)', 'item')}
@@ -191,8 +198,7 @@ def list_feet(spark, sf):
     sources = c("sources").cast("int")
     foot = messages.list_foot(sources, c("ranked"), c("key"), c("outcome"), c("running"), c("progress"), c("unchecked"), c("checked"), c("win"), c("loaded"), c("total"), c("error"), c("title"), c("odd"))
     empty = messages.empty_line(sources, c("flag"), c("loaded"), c("ranked"), c("running"), ~c("odd"), c("outcome"), c("checked"))
-    table(spark, sf, "events").createOrReplaceTempView("_events_of_feet")
-    return spark.sql(_RUN.replace("FROM events", "FROM _events_of_feet")).select("event_id", foot.alias("foot"), empty.alias("empty"))
+    return _runs(spark, sf).select("event_id", foot.alias("foot"), empty.alias("empty"))
 
 
 _SAID = f"CASE WHEN found + unsure = 0 THEN CASE WHEN odd THEN 'Matched by title. ' ELSE '' END || 'Nothing found in ' || {_plural('n', 'paragraph')} || ' checked' ELSE concat_ws(', ', CASE WHEN found > 0 THEN found || ' found' END, CASE WHEN unsure > 0 THEN unsure || ' unsure' END) END"
@@ -205,9 +211,35 @@ _SAID = f"CASE WHEN found + unsure = 0 THEN CASE WHEN odd THEN 'Matched by title
 def reader_feet(spark, sf):
     """The line under an article."""
     c = F.col
-    table(spark, sf, "events").createOrReplaceTempView("_events_of_feet")
-    rows = spark.sql(_RUN.replace("FROM events", "FROM _events_of_feet")).withColumn("n", F.when(c("event_id") % 8 == 0, F.least("checked", "judgeable")).otherwise(c("judgeable")))
+    rows = _runs(spark, sf).withColumn("n", F.when(c("event_id") % 8 == 0, F.least("checked", "judgeable")).otherwise(c("judgeable")))
     foot = messages.reader_foot(c("sources"), c("judgeable"), c("ranked"), c("running"), c("flag"), c("unchecked"), c("key"), c("outcome"), c("n"), c("found"), c("unsure"), c("error").isNotNull(), c("odd"))
     return rows.select("event_id", foot.alias("foot"))
 
 
+
+
+@query("judge_loop", f"""{BASE}, have AS (SELECT DISTINCT text_hash, frame_hash FROM judged WHERE id % 3 = 0 AND pin_id < 3), want AS (SELECT DISTINCT text_hash, frame_hash, p FROM judged)
+  SELECT w.text_hash, w.frame_hash, round(p, 9) AS p, CASE WHEN h.text_hash IS NOT NULL THEN 0 WHEN substr(w.text_hash, 1, 1) < '5' THEN 2 ELSE 1 END::BIGINT AS run FROM want w LEFT JOIN have h USING (text_hash, frame_hash)""")
+def judge_loop(spark, sf):
+    """A judge that fails on three texts in ten the first time it is asked: two passes fill the cache, each asks only what is missing."""
+    root = folder(spark, "judgments")
+    known = cached(spark, sf).where(F.col("model") == MODEL)
+    known.select("text_hash", "frame_hash", "model", "p").write.parquet(f"{root}/run=0")
+    place = F.row_number().over(Window.orderBy(F.col("sort_date").desc(), F.col("id").desc()))  # a window's rows
+    pairs = written(_pairs(spark, sf).select("text_hash", rank.judged_text().alias("state"), place.cast("long").alias("position"), "frame_hash", F.col("sentence").alias("frame")), "pairs")
+
+    def judge(fails):
+        def asked(requests):
+            ps = F.transform("frames", lambda f: overlap_judge(F.col("state"), f))
+            return requests.select("text_hash", "position", F.when(fails, "unreachable").otherwise("answered").alias("status"), ps.alias("ps"))
+
+        return asked
+
+    out = cache_of = judging.cache(spark, f"{root}/run=0").withColumn("run", F.lit(0))
+    for run, fails in ((1, F.substring("text_hash", 1, 1) < "5"), (2, F.lit(False))):
+        here = f"{root}/run={run}"
+        cache_of.select("text_hash", "frame_hash", "model", "p").write.parquet(here)
+        judging.judge_pass(pairs, here, judge(fails), MODEL, wave=128)
+        fresh = judging.cache(spark, here).join(out.select("text_hash", "frame_hash"), ["text_hash", "frame_hash"], "left_anti").withColumn("run", F.lit(run))
+        out = cache_of = written(out.unionByName(fresh), "answered")
+    return out.select("text_hash", "frame_hash", F.round("p", 9).alias("p"), F.col("run").cast("long").alias("run"))
