@@ -9,6 +9,7 @@ from semrank.functions import pages as P
 from semrank.operators import reader
 from semrank.plans.base import query
 from semrank.sources import feeds, html_blocks
+from semrank.sources.scratch import written
 from semrank.sources.tables import table
 
 
@@ -54,6 +55,37 @@ def feed_parse(spark, sf):
     return feeds.built(feeds.raw_entries(made), F.lit(1_710_000_000)).drop("content")
 
 
+#: Feeds of three dialects: an image with a title of its own, names of other namespaces, a second value, markup in a field, a broken end.
+_DIALECTS = (
+    """<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><image><title>Logo</title><link>http://logo.example/</link></image><title>Site {n} &amp;amp; co</title><link>http://s{n}.example/</link>
+<item><title>First {n}</title><dc:title>Second</dc:title><guid isPermaLink="false">g{n}</guid><link>/a/{n}</link><description>Some <b>bold</b> &eacute; text</description><pubDate>Tue, 05 Mar 2024 10:20:30 GMT</pubDate></item><item><title>cut""",
+    """<feed xmlns="http://www.w3.org/2005/Atom"><title type="text">Site {n} &amp; co</title><link rel="self" href="/self"/><link href="http://s{n}.example/"/>
+<entry><id>g{n}</id><title type="html">&lt;i&gt;First&lt;/i&gt; {n}</title><link rel="replies" href="/no"/><link href="/a/{n}"/><published>2024-03-05T10:20:30Z</published><updated>2025-01-01</updated><summary>Some bold é text</summary></entry></feed>""",
+    """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:d="http://purl.org/dc/elements/1.1/"><channel><title>Site {n} &amp; co</title><link>http://s{n}.example/</link></channel>
+<image><title>Logo</title></image><item rdf:about="https://f.example/a/{n}"><d:identifier>g{n}</d:identifier><title>First {n}</title><d:date>2024-03-05T11:20:30+01:00</d:date><description>Some bold &#233; text</description></item></rdf:RDF>""",
+)
+
+
+def _dialects(spark, sf):
+    form = F.get(F.array(*map(F.lit, _DIALECTS)), (F.col("page_id") % 3).cast("int"))
+    body = F.encode(F.replace(form, F.lit("{n}"), F.col("page_id").cast("string")), "UTF-8")
+    made = table(spark, sf, "pages").select(F.col("page_id").alias("source_id"), F.lit("https://f.example/feed.xml").alias("url"), body.alias("body"), F.lit(None).cast("string").alias("charset"))
+    return written(feeds.raw_rows(made), "feeds")
+
+
+@query("feed_rows", "SELECT page_id AS source_id, CASE page_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'rdf' END AS dialect, 'Site ' || page_id || ' & co' AS title, 'http://s' || page_id || '.example/' AS link, 1 AS entries FROM pages")
+def feed_rows(spark, sf):
+    """Title, link and dialect of feeds; an image's title is not the feed's."""
+    return feeds.feed_rows(_dialects(spark, sf))
+
+
+@query("feed_dialects", "SELECT page_id AS source_id, 0::BIGINT AS position, 'g' || page_id AS guid, 'https://f.example/a/' || page_id AS url, 'First ' || page_id AS title, 'Some bold é text' AS snippet, 1709634030::BIGINT AS published FROM pages")
+def feed_dialects(spark, sf):
+    """Entries of the three dialects: other namespaces' names, first values, markup in a field, an entry before a broken end."""
+    rows = _dialects(spark, sf).where("position is not null").drop("dialect")
+    return feeds.built(rows, F.lit(1_710_000_000)).drop("content")
+
+
 @query("hn_json", "SELECT page_id AS source_id, 0::BIGINT AS position, page_id::VARCHAR AS guid, url, 'Story ' || page_id AS title, 'src.example' AS snippet, 1700000000 + page_id AS published FROM (SELECT page_id, 'https://www.src.example/' || page_id AS url FROM pages)")
 def hn_json(spark, sf):
     one = F.struct(F.col("page_id").cast("string").alias("objectID"), F.concat(F.lit("Story  "), F.col("page_id")).alias("title"), F.concat(F.lit("https://www.src.example/"), F.col("page_id")).alias("url"), (F.lit(1_700_000_000) + F.col("page_id")).alias("created_at_i"))

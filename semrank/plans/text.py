@@ -140,6 +140,17 @@ def table_sentences(spark, sf):
     return rows.select("doc_id", sentence.is_question(F.col("said")).alias("question"), sentence.unjudgeable("said").alias("reason"), sentence.frame_hash(sentence.frame(F.col("said"))).alias("frame_hash"))
 
 
+# A letter with a combining mark, a family of three joined by joiners, a flag and a letter: four characters of one to five code points.
+_CLUSTERS = "e\u0301\U0001f469\u200d\U0001f469\u200d\U0001f467\U0001f1eb\U0001f1f7x"
+
+
+@query("sentence_graphemes", f"SELECT doc_id, left_grapheme(lang || ' ' || repeat('{_CLUSTERS}', (doc_id % 80)::INT) || source, 200) AS sentence FROM documents")
+def sentence_graphemes(spark, sf):
+    """Sentences are cut after 200 characters as readers count them, never within one."""
+    said = F.concat("lang", F.lit(" "), F.repeat(F.lit(_CLUSTERS), (F.col("doc_id") % 80).cast("int")), "source")
+    return table(spark, sf, "documents").select("doc_id", sentence.clean(said).alias("sentence"))
+
+
 @query("future_dates", f"WITH {ITEM_SQL} SELECT id, CASE WHEN epoch(published) <= epoch(TIMESTAMP '2024-01-20') + 86400 THEN epoch(published)::BIGINT END AS seconds FROM item")
 def future_dates(spark, sf):
     """Dates more than a day ahead of the reading count as none."""

@@ -32,6 +32,7 @@ FIELDS = {
     "atom:updated": "updated", "atom:modified": "updated", "description": "summary", "atom:summary": "summary", "content:encoded": "content",
     "atom:content": "content", "media:description": "media_description", "media:title": "media_title",
 }
+DIALECTS = {"rss": "rss", "rdf": "rdf", "feed": "atom"}
 ELSEWHERE = {"self", "enclosure", "replies", "edit", "hub", "license", "next", "previous"}
 RAW = ("about", "guid", "link", "title", "media_title", "published", "updated", "summary", "media_description", "content")
 
@@ -95,6 +96,7 @@ class Reader:
 
     def __init__(self, text: str, base: str):
         self.base, self.entries, self.path, self.prefix = base, [], [], {}
+        self.feed: dict = {"links": [], "permalink": False, "dialect": None}
         self.entry = self.field = self.bare_atom = None
         self.kind, self.parts, self.depth, self.markup = "", [], 0, False
         p = expat.ParserCreate()
@@ -118,9 +120,10 @@ class Reader:
                 self.prefix[k[6:]] = v
         if not self.path:
             root = written.split(":")[-1].lower()
-            if root not in ("rss", "rdf", "feed"):
+            if root not in DIALECTS:
                 raise expat.ExpatError("no feed")
             self.bare_atom = root == "feed" and "" not in self.prefix
+            self.feed["dialect"] = DIALECTS[root]
         name = self.name(written)
         self.path.append(name)
         if self.field:
@@ -131,6 +134,22 @@ class Reader:
             self.child(name, attrs)
         elif name in ("item", "atom:entry"):
             self.entry, self.depth = {"about": attrs.get("rdf:about"), "permalink": True, "links": []}, len(self.path)
+        elif self.path[-2:-1] == ["channel"] and name in ("title", "link"):
+            self.begin(name, "html" if name == "title" else "plain")
+        elif self.path[:-1] == ["atom:feed"] and name == "atom:title":
+            self.begin("title", (attrs.get("type") or "text").lower())
+        elif self.path[:-1] == ["atom:feed"] and name == "atom:link":
+            self.linked(self.feed, attrs)
+
+    def begin(self, field: str, kind: str):
+        """The text of the element that is open is a value of the field, as HTML or as it stands."""
+        self.field, self.parts, self.markup, self.at = field, [], False, len(self.path)
+        self.kind = "html" if "html" in kind else "plain"
+
+    @staticmethod
+    def linked(held: dict, attrs: dict):
+        if attrs.get("href"):
+            held["links"].append((attrs["href"], (attrs.get("rel") or "alternate").lower(), (attrs.get("type") or "").lower()))
 
     def child(self, name, attrs):
         below = len(self.path) - self.depth
@@ -138,12 +157,9 @@ class Reader:
             return
         kind = (attrs.get("type") or "text").lower()
         if name == "atom:link":
-            if attrs.get("href"):
-                self.entry["links"].append((attrs["href"], (attrs.get("rel") or "alternate").lower(), (attrs.get("type") or "").lower()))
+            self.linked(self.entry, attrs)
         elif name in FIELDS and not (name == "atom:content" and not (kind == "text" or "html" in kind or kind.startswith("text/"))):
-            self.field, self.parts, self.markup = FIELDS[name], [], False
-            self.at = len(self.path)
-            self.kind = "html" if name in ("description", "content:encoded", "title") or "html" in kind else "plain"
+            self.begin(FIELDS[name], "html" if name in ("description", "content:encoded", "title") else kind)
             if name == "guid":
                 self.entry["permalink"] = (attrs.get("isPermaLink") or "").lower() != "false"
 
@@ -157,10 +173,10 @@ class Reader:
 
     def end(self, written):
         if self.field and len(self.path) == self.at:
-            text = "".join(self.parts)
-            if text.strip() and self.entry.get(self.field) is None:
-                self.entry[self.field] = text.strip()
-                self.entry[f"{self.field}_html"] = self.markup or self.kind == "html"
+            text, held = "".join(self.parts), self.feed if self.entry is None else self.entry
+            if text.strip() and held.get(self.field) is None:
+                held[self.field] = text.strip()
+                held[f"{self.field}_html"] = self.markup or self.kind == "html"
             self.field = None
         elif self.field:
             self.parts.append(f"</{written}>")
@@ -182,27 +198,42 @@ class Reader:
         return None
 
 
-def raw_entries(feeds: DataFrame) -> DataFrame:
-    """feeds (source_id, url, body binary, charset): source_id, position, address, the fields of RAW, and whether three of them are HTML.
-    A feed without a body has no entries.
+def raw_rows(feeds: DataFrame) -> DataFrame:
+    """feeds (source_id, url, body binary, charset) read once: a row of the feed itself (`dialect`, without position) and one of each
+    entry (with position); source_id, address, the fields of RAW, and whether three of them are HTML. A feed without a body, and
+    what is no feed, has no row.
     """
     flags = ("title_html", "summary_html", "content_html")
 
+    def row(r: Reader, source, position, e: dict) -> tuple:
+        return (source, e.get("dialect"), position, r.address(e), *(e.get(k) for k in RAW), *(bool(e.get(k)) for k in flags))
+
     def run(frames):
         for pdf in frames:
             rows = []
             for source, url, body, charset in zip(pdf.source_id, pdf.url, pdf.body, pdf.charset, strict=True):
-                if body is None:
-                    continue
-                r = Reader(decoded(bytes(body), charset), url or "")
-                for i, e in enumerate(r.entries):
-                    rows.append((source, i, r.address(e), *(e.get(k) for k in RAW), *(bool(e.get(k)) for k in flags)))
-            yield pd.DataFrame(rows, columns=["source_id", "position", "address", *RAW, *flags])
-
-    schema = "source_id long, position long, address string, " + ", ".join(f"{k} string" for k in RAW) + ", " + ", ".join(f"{k} boolean" for k in flags)
+                r = Reader(decoded(bytes(body), charset), url or "") if body is not None else None
+                if r and r.feed["dialect"]:
+                    rows += [row(r, source, None, r.feed), *(row(r, source, i, e) for i, e in enumerate(r.entries))]
+            yield pd.DataFrame(rows, columns=["source_id", "dialect", "position", "address", *RAW, *flags]).astype({"position": "Int64"})
+
+    schema = "source_id long, dialect string, position long, address string, " + ", ".join(f"{k} string" for k in RAW) + ", " + ", ".join(f"{k} boolean" for k in flags)
     return feeds.select("source_id", "url", "body", "charset").mapInPandas(run, schema)
 
 
+def raw_entries(feeds: DataFrame) -> DataFrame:
+    """Entries of raw_rows()."""
+    return raw_rows(feeds).where("position is not null").drop("dialect")
+
+
+def feed_rows(rows: DataFrame) -> DataFrame:
+    """source_id, dialect, title, link and number of entries of each feed of raw_rows(), which is read twice."""
+    title = F.when(F.col("title_html"), plain_text(F.col("title"))).otherwise(collapse(F.col("title")))
+    feeds = rows.where("position is null").select("source_id", "dialect", F.nullif(title, F.lit("")).alias("title"), F.col("address").alias("link"))
+    counts = rows.groupBy("source_id").agg(F.count("position").alias("entries"))
+    return feeds.join(counts, "source_id")
+
+
 def built(entries: DataFrame, now: Column) -> DataFrame:
     """raw_entries() as items: source_id, position, guid, url, title, snippet, content, published (seconds). now: seconds."""
     blank = lambda c: F.nullif(c, F.lit(""))
