@@ -55,6 +55,30 @@ def feed_parse(spark, sf):
     return feeds.built(feeds.raw_entries(made), F.lit(1_710_000_000)).drop("content")
 
 
+_EMBEDDED = "CASE WHEN page_id % 5 = 0 THEN '<script type=\"application/ld+json\">{\"articleBody\": \"' || repeat('Part ' || page_id || ' text. ', 60) || '\"}</script>' ELSE '' END"
+_THIN = "CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?s)(<h1>.*?</h1><p>[^<]*<b>[^<]*<br>).*(</article>)', '{one}1<p>A short rest of this page, some ten words long.</p>{two}2') ELSE html END"
+
+
+@query("article_stages", f"""{BLOCKS_SQL.replace("FROM pages", "FROM (SELECT page_id, " + _THIN.replace("{one}", chr(92)).replace("{two}", chr(92)) + " AS html FROM pages) pages")}, h AS (
+  SELECT item_id, bool_or(part = 0) AS ad, coalesce(max(length(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g'))) FILTER (kind = 'heading'), 0) < 8 AS head, min(place) FILTER (part = 1 AND kind = 'paragraph' AND length(text) >= 40) AS begin_at FROM k GROUP BY item_id
+), t AS (
+  -- Before the first full passage short paragraphs go, unless a heading that isn't the title, or the label, stands before them.
+  SELECT k.*, c.part AS chosen, h.ad, k.part = 0 OR begin_at IS NULL OR h.head OR place >= begin_at AS late FROM k JOIN c USING (item_id) JOIN h USING (item_id) WHERE kind = 'paragraph'
+), v AS (
+  SELECT item_id, part, any_value(chosen) AS chosen, any_value(ad) AS ad, CASE WHEN sum(length(text) + 1) - 1 >= 40 THEN sum(len(string_split(text, ' '))) ELSE 0 END AS every,
+    CASE WHEN sum(length(text) + 1) FILTER (late) - 1 >= 40 THEN sum(len(string_split(text, ' '))) FILTER (late) ELSE 0 END AS after FROM t GROUP BY item_id, part
+), n AS (
+  SELECT item_id, coalesce(sum(CASE WHEN chosen IS NULL AND ad THEN every ELSE after END) FILTER (chosen IS NULL OR part = chosen), 0) AS one, coalesce(sum(CASE WHEN ad THEN every ELSE after END), 0) AS two,
+    CASE WHEN item_id % 5 = 0 THEN 180 ELSE 0 END AS three FROM (SELECT item_id FROM a) LEFT JOIN v USING (item_id) GROUP BY item_id
+), r AS (SELECT *, CASE WHEN one >= 150 OR one >= two THEN one ELSE two END AS best FROM n)
+  SELECT item_id, CASE WHEN best < 150 AND three > best THEN 'embedded' WHEN one >= 150 OR one >= two THEN 'selected' ELSE 'whole' END AS stage, CASE WHEN best < 150 AND three > best THEN three ELSE best END::BIGINT AS words FROM r""")
+def article_stages(spark, sf):
+    """Pages, a third of them cut short, some with a body in JSON-LD: the stage that gives each its text, and its words."""
+    html = F.expr(f"({_EMBEDDED}) || ({_THIN.replace('{one}', '$').replace('{two}', '$')})")
+    made = table(spark, sf, "pages").select("page_id", html.alias("html"), P.title(F.col("html")).alias("title"))
+    return html_blocks.staged(made)[0]
+
+
 #: Feeds of three dialects: an image with a title of its own, names of other namespaces, a second value, markup in a field, a broken end.
 _DIALECTS = (
     """<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><image><title>Logo</title><link>http://logo.example/</link></image><title>Site {n} &amp;amp; co</title><link>http://s{n}.example/</link>
