@@ -28,7 +28,8 @@ def sections(passages: DataFrame) -> DataFrame:
 
 def without_empty_sections(passages: DataFrame, levels: int = 6) -> DataFrame:
     """Headings without body text before the next heading of their level or a higher one go."""
-    below = in_order().rowsBetween(1, Window.unboundedFollowing)
+    # Read from the end, so that frames only grow: one that shrinks is summed up anew for every row.
+    below = Window.partitionBy("item_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
     body = F.min(F.when(F.col("level").isNull(), F.col("idx"))).over(below)
     ends = F.lit(None).cast("long")
     for n in range(levels, 0, -1):
