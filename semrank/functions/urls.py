@@ -37,8 +37,8 @@ def without_campaign(url: Column) -> Column:
 
 
 def arxiv_id(url: Column) -> Column:
-    """Identifier without its version, null if there is none."""
-    return F.nullif(F.regexp_extract(url, r"arxiv\.org/(?:abs|pdf|html)/([a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})", 1), F.lit(""))
+    """Identifier without its version, null if there is none; a number of more digits than today's five is not cut to another paper's."""
+    return F.nullif(F.regexp_extract(url, r"arxiv\.org/(?:abs|pdf|html)/([a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,})", 1), F.lit(""))
 
 
 def subreddit(url: Column) -> Column:
