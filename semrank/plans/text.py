@@ -118,8 +118,10 @@ def table_dates(spark, sf):
     """A moment of each row in a form of feeds, read back."""
     t = F.col("t")
     form = lambda p, tail="": F.concat(F.date_format(t, p), F.lit(tail))
+    # Two digits say 1970 to 2069; later years have all four.
+    short = F.when(F.year(t) < 2070, form("dd MMM yy HH:mm", " PDT")).otherwise(form("dd MMM yyyy HH:mm", " PDT"))
     forms = [
-        form("yyyy-MM-dd"), form("yyyy-MM-dd'T'HH:mm:ss", "Z"), form("yyyy-MM-dd'T'HH:mm:ss", ".250+05:30"), form("yyyy-MM-dd HH:mm", " -0800"), form("E, dd MMM yyyy HH:mm:ss", " GMT"), form("dd MMM yy HH:mm", " PDT"),
+        form("yyyy-MM-dd"), form("yyyy-MM-dd'T'HH:mm:ss", "Z"), form("yyyy-MM-dd'T'HH:mm:ss", ".250+05:30"), form("yyyy-MM-dd HH:mm", " -0800"), form("E, dd MMM yyyy HH:mm:ss", " GMT"), short,
         form("EEEE, dd MMMM yyyy HH:mm:ss", " +0200"), form("yyyy-MM-dd'T'HH:mm:ss", " CEST"), form("yyyy-MM-dd'T'HH:mm:ss", " Mars"), form("yyyy-'02-30'"), form("MMM dd"), form("dd MMM yyyy"),
     ]
     moment = F.expr("timestamp_ntz'1969-12-30' + make_dt_interval(0, CAST(doc_id * 37 % 900000 AS INT), 0, doc_id % 3600)")
