@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Ids that share a row of state; a power of two.
+BLOCK = 256
+
+
 def fed(spark: SparkSession, batches: list[DataFrame], path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
     """Runs a stream over each batch in turn: the batch's files are added to the folder, the stream goes on from its checkpoint and
     takes them as one micro-batch, however many they are.
@@ -37,16 +42,31 @@ def daily_totals(events: DataFrame, ts: str, value: Column, delay: str = "1 day"
 
 
 def sticky_saturation(judged: DataFrame, share: float, least: int) -> DataFrame:
-    """judged (item_id, found boolean) as a stream: item_id, checked, found, saturated; once saturated, an article stays so."""
+    """judged (item_id, found boolean) as a stream: item_id, checked, found, saturated; once saturated, an article stays so.
+
+    The state of BLOCK neighbouring ids is one row, so that Python counts them at once and isn't called for every article.
+    """
 
     def step(key, frames, state: GroupState):
-        checked, found, saturated = state.get if state.exists else (0, 0, False)
+        sums = np.zeros((3, BLOCK), np.int64)  # checked, found, saturated by the id's place in its block
+        if state.exists:
+            places, *known = state.get
+            sums[:, list(places)] = np.array([list(x) for x in known])
+        came = np.zeros(BLOCK, bool)
         for pdf in frames:
-            checked, found = checked + len(pdf), found + int(pdf.found.sum())
+            place, found = pdf["place"].to_numpy(), pdf["found"].fillna(False).to_numpy(bool)
+            came[place] = True
+            sums[0] += np.bincount(place, minlength=BLOCK)
+            sums[1] += np.bincount(place[found], minlength=BLOCK)
         # Judged once a micro-batch, not once a frame of it.
-        saturated = saturated or (checked >= least and found > share * checked)
-        state.update((checked, found, saturated))
-        yield pd.DataFrame({"item_id": [key[0]], "checked": [checked], "found": [found], "saturated": [saturated]})
+        checked, found, saturated = sums
+        saturated |= (checked >= least) & (found > share * checked)
+        known, now = np.flatnonzero(checked), np.flatnonzero(came)
+        state.update((known.tolist(), *sums[:, known].tolist()))
+        ids = [None] * len(now) if key[0] is None else key[0] * BLOCK + now
+        yield pd.DataFrame({"item_id": ids, "checked": checked[now], "found": found[now], "saturated": saturated[now] > 0})
 
-    out = "item_id long, checked long, found long, saturated boolean"
-    return judged.groupBy("item_id").applyInPandasWithState(step, out, "checked long, found long, saturated boolean", "update", GroupStateTimeout.NoTimeout)
+    out, kept = "item_id long, checked long, found long, saturated boolean", "places array<int>, checked array<long>, found array<long>, saturated array<long>"
+    block = F.shiftright(F.col("item_id").cast("long"), BLOCK.bit_length() - 1).alias("block")
+    rows = judged.select(block, F.coalesce(F.pmod("item_id", F.lit(BLOCK)), F.lit(0)).cast("int").alias("place"), "found")
+    return rows.groupBy("block").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
