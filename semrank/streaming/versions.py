@@ -33,8 +33,10 @@ def _schema(rows: DataFrame) -> StructType:
 
 
 def _publish(rows: DataFrame, root: str, n: int, others: DataFrame | None) -> None:
-    """rows (with bucket) as files of version n, and its manifest, with the buckets of others where they were."""
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/n={n}")
+    """rows (with bucket) as files of version n, and its manifest, with the buckets of others where they were. Each task writes the
+    rows that it holds: texts don't move again, and no task holds a bucket.
+    """
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/n={n}")
     made = rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/data/n={n}").groupBy("bucket").agg(F.lit(n).alias("made"), F.count("*").alias("rows"), F.max("id").alias("last_id"))
     made = made.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in MANIFEST.split(", "))])
     (made if others is None else made.unionByName(others)).write.mode("overwrite").parquet(f"{root}/versions/n={n}")
