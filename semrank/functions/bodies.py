@@ -55,21 +55,19 @@ def _marked(d: dict) -> str | None:
     return body if isinstance(body, str) and len(body) >= JSON_LD_CHARS else None
 
 
-@F.pandas_udf(StringType())
-def json_body(text: pd.Series) -> pd.Series:
+# Whole bodies go to Python a hundred at a time: an Arrow batch would hold 10,000 of them, and their results, in a worker.
+@F.udf(StringType(), useArrow=False)
+def json_body(text: str | None) -> str | None:
     """The HTML of a post that came as JSON; empty for JSON without one, null for text that isn't JSON."""
-    loaded = text.map(_loaded)
-    return pd.Series([None if x is None else _first(x, _post, 6) or "" for x in loaded], dtype=object)
+    loaded = _loaded(text)
+    return None if loaded is None else _first(loaded, _post, 6) or ""
 
 
-@F.pandas_udf(StringType())
-def embedded_body(payloads: pd.Series) -> pd.Series:
+@F.udf(StringType(), useArrow=False)
+def embedded_body(payloads: list[str] | None) -> str | None:
     """The article in a page's JSON-LD payloads as paragraphs, one a line; null if there is none."""
-    out = []
-    for p in payloads:
-        body = next((b for b in (_first(_loaded(x), _marked, 8) for x in (p if p is not None else ())) if b), None)
-        out.append(body and "\n".join(f"<p>{line}</p>" for line in re.split(r"\r\n|[\n\r  \x85\x0b\x0c]", body)))
-    return pd.Series(out, dtype=object)
+    body = next((b for b in (_first(_loaded(x), _marked, 8) for x in payloads or ()) if b), None)
+    return body and "\n".join(f"<p>{line}</p>" for line in re.split(r"\r\n|[\n\r  \x85\x0b\x0c]", body))
 
 
 def _known(label: str | None) -> str | None:
@@ -119,9 +117,9 @@ def page_text(data: bytes | None, declared: str | None) -> str | None:
     return next(t for t in texts if t is not None).lstrip("\ufeff")
 
 
-@F.pandas_udf(StringType())
-def page_decoded(data: pd.Series, declared: pd.Series) -> pd.Series:
-    return pd.Series([page_text(d, c) for d, c in zip(data, declared, strict=True)], dtype=object)
+@F.udf(StringType(), useArrow=False)
+def page_decoded(data: bytes | None, declared: str | None) -> str | None:
+    return page_text(None if data is None else bytes(data), declared)
 
 
 @F.pandas_udf(DecimalType(20, 0))
