@@ -1,4 +1,4 @@
-"""Bodies that need a parser: bytes of pages, JSON pages, articles in JSON-LD, a stable hash. Arrow batches, no row loops in Spark."""
+"""Bodies that need a parser: bytes of pages, JSON pages, articles in JSON-LD, a stable hash. Whole bodies cross to Python in small batches."""
 
 from __future__ import annotations
 
